@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import zipfile
 from pathlib import Path
-from tempfile import TemporaryDirectory
+from tempfile import mkdtemp
 
 from pyspark.sql import SparkSession
 
@@ -18,8 +20,9 @@ def ship(spark: SparkSession) -> None:
         return
     _shipped.add(app)
     root = Path(__file__).resolve().parent
-    with TemporaryDirectory() as d:
-        with zipfile.ZipFile(f"{d}/baseloom.zip", "w") as z:
-            for p in sorted(root.rglob("*.py")):
-                z.write(p, p.relative_to(root.parent))
-        spark.sparkContext.addPyFile(f"{d}/baseloom.zip")
+    d = mkdtemp(prefix="baseloom-ship-")  # the driver serves the file for as long as it runs
+    atexit.register(shutil.rmtree, d, ignore_errors=True)
+    with zipfile.ZipFile(f"{d}/baseloom.zip", "w") as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, p.relative_to(root.parent))
+    spark.sparkContext.addPyFile(f"{d}/baseloom.zip")
