@@ -22,12 +22,16 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .token_cache import tokenizer
+from .token_cache import encode_words, tokenizer
 
 WINDOW, CLOSING = 4096, 2
 SENTENCE, INSIDE, FORCED = 4.0, 64.0, 256
 SEGMENT = 1 << 20
-WORDS_KEPT = 400_000
+WORDS_KEPT = 1_000_000
+END = 0xFFFFFFFF  # follows the ids of a word that ends a sentence, while words are joined
+_END = END.to_bytes(4, "little")
+STOPS = (".", "!", "?", "\n")
+SIGNS = ".,;:!?#*$%&"
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -35,7 +39,10 @@ class WordIds:
     """Token ids of texts, by way of ids of words: this tokenizer drops white space, so no token spans words."""
 
     def __init__(self, path: str, kept: int = WORDS_KEPT):
-        self.tok, self.kept, self.ids, self.ends = tokenizer(path), kept, {}, {}
+        self.tok, self.kept, self.ids, self.tails = tokenizer(path), kept, {}, {"": b""}
+
+    def one(self, word: str) -> bytes:
+        return encode_words(self.tok, [" " + word])[0].tobytes()
 
     def encode(self, texts: list[str]):
         """(ids, ends) for each text: ends are the positions in ids after which a sentence or line has ended."""
@@ -44,20 +51,43 @@ class WordIds:
         split = [t.replace("\n", "\n ").split(" ") for t in texts]
         if len(self.ids) > self.kept:
             self.ids.clear()
-            self.ends.clear()
         new: set[str] = set()
         for words in split:
             new.update(words)
         miss = list(new.difference(self.ids))
-        for w, e in zip(miss, self.tok.encode_batch_fast(miss, add_special_tokens=False), strict=True):
-            self.ids[w] = np.array(e.ids, "<u4").tobytes()
-            self.ends[w] = 2 * len(e.ids) + (w[-1:] in (".", "!", "?", "\n"))
-        get, ends = self.ids.__getitem__, self.ends.__getitem__
-        out = []
+        # letters and a tail of signs are pre-tokens of their own, so many words share their letters
+        parts, need = [], set()
+        for w in miss:
+            core = w.strip()
+            stem = core.rstrip(SIGNS)
+            if not stem.isalpha():
+                stem = core
+            elif stem.isascii():
+                stem = stem.lower()
+            tail = core[len(stem) :]
+            parts.append((stem, tail))
+            if stem not in self.ids or stem[-1:] in STOPS:
+                need.add(stem)
+            if tail not in self.tails:
+                need.add(tail)
+        need = list(need)
+        found, at = encode_words(self.tok, [" " + w for w in need])
+        raw, lo, new = found.tobytes(), 0, {}
+        for w, hi in zip(need, (4 * at).tolist(), strict=True):
+            new[w] = raw[lo:hi]
+            lo = hi
+        for w, (stem, tail) in zip(miss, parts, strict=True):
+            if tail not in self.tails:
+                if len(self.tails) > 10_000:
+                    self.tails = {"": b""}
+                self.tails[tail] = new[tail] if tail in new else self.one(tail)
+            ids = new[stem] if stem in new else self.ids[stem]
+            self.ids[w] = ids + self.tails[tail] + (_END if w[-1:] in STOPS else b"")
+        get, out = self.ids.__getitem__, []
         for words in split:
-            code = np.fromiter(map(ends, words), np.int64, len(words))
-            at = np.cumsum(code >> 1)
-            out.append((np.frombuffer(b"".join(map(get, words)), "<u4"), np.unique(at[(code & 1) == 1])))
+            ids = np.frombuffer(b"".join(map(get, words)), "<u4")
+            marks = np.flatnonzero(ids == END)
+            out.append((ids[ids != END], np.unique(marks - np.arange(len(marks)))))
         return out
 
 
