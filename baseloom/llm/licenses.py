@@ -40,8 +40,8 @@ TEMPLATES = (
     ("mit", "Released under the MIT License"),
     ("mpl-2.0", "Subject to the terms of the Mozilla Public License, version 2.0"),
 )
-#: Frequent words (of some language), which are no anchors.
-COMMON = frozenset("the of to this is in and under by mit".split())
+#: Frequent words, which are no anchors.
+COMMON = frozenset("the of to this is in and under by".split())
 LICENCE_FILES = r"(?i)(^|/)(licen[sc]e|copying|notice)([.-][^/]*)?$"
 
 
