@@ -88,8 +88,10 @@ def threshold(scores: DataFrame) -> DataFrame:
         return [n.alias(f"n_{k}"), mean.alias(f"m_{k}"), F.sqrt(F.greatest(F.sum(F.col(k) * F.col("score") * F.col("score")) / n - mean * mean, F.lit(0.0))).alias(f"s_{k}")]
 
     x = scores.agg(*moments("good"), *moments("bad"))
-    spread = F.col("s_good") + F.col("s_bad")
-    cut = F.when(spread > 0, (F.col("m_good") * F.col("s_bad") + F.col("m_bad") * F.col("s_good")) / spread).otherwise((F.col("m_good") + F.col("m_bad")) / 2)
+    # a class of equal strings has no spread of its own; a twentieth of the distance keeps the cut between the means
+    least = 0.05 * F.abs(F.col("m_good") - F.col("m_bad")) + 1e-9
+    good, bad = F.col("s_good") + least, F.col("s_bad") + least
+    cut = (F.col("m_good") * bad + F.col("m_bad") * good) / (good + bad)
     return x.select(F.when((F.col("n_good") > 0) & (F.col("n_bad") > 0), cut).alias("cut"))
 
 
