@@ -17,15 +17,26 @@ def linear_interval(longest: Column) -> Column:
     return F.coalesce(fits, F.raise_error(F.lit("reads are too long for linear bins")).cast("int"))
 
 
+def _once(values: dict[str, Column], body) -> Column:
+    """body(values) as one lambda: evaluated once, and not repeated in generated code wherever a bin is used."""
+    return F.transform(F.array(F.struct(*(v.alias(k) for k, v in values.items()))), body)[0]
+
+
 def bin_low(pos: Column, longest: Column) -> Column:
     """First position of the bin of a 1-based position: single ones up to 9, then equal widths; single ones up to 75 in all."""
-    iv = linear_interval(longest)
+    return _once({"pos": pos, "longest": longest, "iv": linear_interval(longest)}, lambda x: _low(x["pos"], x["longest"], x["iv"]))
+
+
+def _low(pos: Column, longest: Column, iv: Column) -> Column:
     wide = F.when(iv <= 10, 10 + F.floor((pos - 10) / iv) * iv).otherwise(F.greatest(F.lit(10), F.floor(pos / iv) * iv))
     return F.when((longest <= 75) | (pos <= 9), pos).otherwise(wide).cast("long")
 
 
 def bin_high(low: Column, longest: Column) -> Column:
-    iv = linear_interval(longest)
+    return _once({"low": low, "longest": longest, "iv": linear_interval(longest)}, lambda x: _high(x["low"], x["longest"], x["iv"]))
+
+
+def _high(low: Column, longest: Column, iv: Column) -> Column:
     end = F.when((iv > 10) & (low == 10), iv - 1).otherwise(low + iv - 1)
     return F.when((longest <= 75) | (low <= 9), low).otherwise(F.least(end, longest)).cast("long")
 

@@ -38,8 +38,12 @@ def tile_quality(reads: DataFrame, first: int = FIRST, every: int = EVERY) -> Da
     at = cube.groupBy("file", "tile", "pos").agg((F.sum(own * (F.col("ascii") - F.col("offset"))) / F.sum(own)).alias("m"))
     at = at.withColumn("longest", F.max("pos").over(Window.partitionBy("file"))).withColumn("low", bin_low(F.col("pos"), F.col("longest"))).withColumn("high", bin_high(F.col("low"), F.col("longest")))
     means = at.groupBy("file", "tile", "low", "high").agg(F.avg("m").alias("mean"))
-    tiles, bins = means.select("file", "tile").distinct(), means.select("file", "low", "high").distinct()
-    many = tiles.groupBy("file").agg(F.count("*").alias("k"))
-    grid = tiles.join(bins, "file").join(F.broadcast(many.where(F.col("k") <= MOST)), "file").drop("k")
-    dense = grid.join(means, ["file", "tile", "low", "high"], "left").withColumn("mean", F.coalesce("mean", F.lit(0.0)))
+    # a row a tile with its bins (at most some 75); the grid of all tiles and bins is laid out from these rows
+    per_tile = means.groupBy("file", "tile").agg(F.collect_list(F.struct("low", "high", "mean")).alias("r"))
+    w = Window.partitionBy("file")
+    bins = F.array_distinct(F.flatten(F.collect_list(F.transform("r", lambda x: F.struct(x["low"].alias("low"), x["high"].alias("high")))).over(w)))
+    wide = per_tile.withColumn("bins", bins).withColumn("k", F.count("*").over(w)).where(F.col("k") <= MOST)
+    grid = wide.select("file", "tile", "r", F.explode("bins").alias("b"))
+    own = F.get(F.filter("r", lambda x: x["low"] == F.col("b.low")), F.lit(0))["mean"]
+    dense = grid.select("file", "tile", F.col("b.low").alias("low"), F.col("b.high").alias("high"), F.coalesce(own, F.lit(0.0)).alias("mean"))
     return dense.withColumn("deviation", F.col("mean") - F.avg("mean").over(Window.partitionBy("file", "low")))
