@@ -91,6 +91,16 @@ class WordIds:
         return out
 
 
+_tables: dict[str, WordIds] = {}
+
+
+def word_ids(path: str) -> WordIds:
+    """This process's table for a tokenizer: the tasks that a worker runs in turn share the words they have learnt."""
+    if path not in _tables:
+        _tables[path] = WordIds(path)
+    return _tables[path]
+
+
 def plan(points: list[int], penalty: list[float], window: int) -> list[int]:
     """Numbers of the chosen points, first and last included; no gap between points is over the window."""
     from collections import deque
@@ -183,7 +193,7 @@ def _pack(path: str, window: int, closing: int):
         from pyspark import TaskContext
 
         schema = pa.schema([(c.split()[0], pa.int64()) for c in PIECES.split(", ")])
-        words, packer = WordIds(path), Packer(window, TaskContext.get().partitionId() << 32)
+        words, packer = word_ids(path), Packer(window, TaskContext.get().partitionId() << 32)
 
         def rows(pieces):
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*pieces, strict=True)], schema=schema)
