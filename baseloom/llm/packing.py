@@ -27,7 +27,7 @@ from .token_cache import encode_words, tokenizer
 WINDOW, CLOSING = 4096, 2
 SENTENCE, INSIDE, FORCED = 4.0, 64.0, 256
 SEGMENT = 1 << 20
-WORDS_KEPT = 1_000_000
+WORDS_KEPT = 2_000_000  # about 0.4 GB for each worker process
 END = 0xFFFFFFFF  # follows the ids of a word that ends a sentence, while words are joined
 _END = END.to_bytes(4, "little")
 STOPS = (".", "!", "?", "\n")
