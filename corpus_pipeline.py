@@ -1,4 +1,4 @@
-"""The corpus pipeline: quality rules, line dedup, SimHash near-dedup, benchmark decontamination, packing.
+"""The corpus pipeline: quality rules, line dedup, near-dedup, benchmark decontamination, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; its result is written as Parquet in the shared folder and
 read again as the next stage's docs. All stages but the last keep the columns of documents.
@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from baseloom.llm import decontaminate, line_dedup, packing, quality_llr, simhash
+from baseloom.llm import decontaminate, line_dedup, near_texts, packing, quality_llr
 from baseloom.llm.common import stored
 from baseloom.session import ship
 
@@ -28,9 +28,9 @@ def dedup_lines(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_documents(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the row of the smallest doc_id stays; rows without a doc_id stay."""
+    """Of each group of near copies (five-word shingles, Jaccard 0.8) the row of the smallest doc_id stays; rows without a doc_id stay."""
     ship(spark)
-    first = simhash.near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
+    first = stored(near_texts.near_texts(docs).where("doc_id = component_id").select("doc_id").distinct(), "first-copies")
     kept = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return kept.union(docs.where("doc_id is null")).select(*docs.columns)
 

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from baseloom.llm import components, decontaminate, licenses, line_dedup, packing, quality_llr, sharding, simhash, token_cache, toxicity, url_lm
+from baseloom.llm import components, decontaminate, licenses, line_dedup, near_texts, packing, quality_llr, sharding, simhash, token_cache, toxicity, url_lm
 from baseloom.llm.common import new_path
 
 P = pytest.importorskip("public_tokenizers")
@@ -143,6 +143,51 @@ def test_simhash(docs, nothing):
     assert simhash.near_duplicates(nothing).count() == 0
 
 
+def _similar_groups(rows):
+    """The smallest doc_id reachable for each row, by comparing all pairs of sets of five-word shingles."""
+    sets = [frozenset(decontaminate.shingles((t or "").encode())) for _, t in rows]
+    root = list(range(len(rows)))
+    for i, x in enumerate(sets):
+        for j, y in enumerate(sets[:i]):
+            if x == y or len(x & y) >= 0.8 * len(x | y):
+                root = [root[j] if r == root[i] else r for r in root]
+    least = {}
+    for (i, _), r in zip(rows, root, strict=True):
+        if i is not None:
+            least[r] = min(i, least.get(r, i))
+    return Counter((i, least.get(r)) for (i, _), r in zip(rows, root, strict=True))
+
+
+def test_near_texts(spark, docs, nothing):
+    assert Counter(map(tuple, near_texts.near_texts(docs).collect())) == _similar_groups(ROWS)
+    assert near_texts.near_texts(nothing).count() == 0
+    r, rows = np.random.default_rng(7), []
+    for k in range(12):
+        base = [f"w{x}" for x in r.integers(0, 500, 200)]
+        for c in range(10):
+            own = list(base)
+            for at in r.choice(200, c, replace=False):  # each changed word takes up to five shingles
+                own[at] = f"new{r.integers(0, 10**6)}"
+            rows.append((100 * k + c, " ".join(own)))
+    want = _similar_groups(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert Counter(map(tuple, near_texts.near_texts(df).collect())) == want
+    assert 12 < len({c for _, c in want}) < len(rows)
+
+
+def test_pipeline_drops_near_copies(spark):
+    """Two changed words of 300 (Jaccard about 0.93) are beyond two bits of the SimHash, but a near copy all the same."""
+    import corpus_pipeline
+
+    rows = []
+    for k in range(8):
+        base = [f"w{k}x{i}" for i in range(300)]
+        rows += [(10 * k, " ".join(base)), (10 * k + 1, " ".join([*base[:100], "other", *base[101:200], "words", *base[201:]]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert len({x.component_id for x in simhash.near_duplicates(df).collect()}) > 8
+    assert sorted(x.doc_id for x in corpus_pipeline.dedup_documents(spark, df, SF).collect()) == [10 * k for k in range(8)]
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(30)] + [(100, 101), (102, 100), (7, 7), (None, 3)] + [(200, i) for i in range(201, 230)]
     got = dict(map(tuple, components.components(spark.createDataFrame(chain, "a long, b long")).collect()))
