@@ -32,6 +32,8 @@ END = 0xFFFFFFFF  # follows the ids of a word that ends a sentence, while words
 _END = END.to_bytes(4, "little")
 STOPS = (".", "!", "?", "\n")
 SIGNS = ".,;:!?#*$%&"
+#: What the tokenizer drops at a word's ends: str.strip() would also take U+001C to U+001F, which have ids.
+BLANK = "".join(c for c in map(chr, range(0x3001)) if c.isspace() and not "\x1c" <= c <= "\x1f")
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -58,7 +60,7 @@ class WordIds:
         # letters and a tail of signs are pre-tokens of their own, so many words share their letters
         parts, need = [], set()
         for w in miss:
-            core = w.strip()
+            core = w.strip(BLANK)
             stem = core.rstrip(SIGNS)
             if not stem.isalpha():
                 stem = core

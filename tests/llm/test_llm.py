@@ -227,6 +227,16 @@ def test_packing(docs, nothing):
     assert packing.packed(nothing, path).count() == 0
 
 
+def test_word_ids_of_control_characters():
+    """Separators U+001C to U+001F have ids; other white space, at ends or alone, has none."""
+    path = P.path("word_bpe_49k.json")
+    tok, table = token_cache.tokenizer(path), packing.WordIds(path)
+    spaces = [c for c in map(chr, range(0x3001)) if c.isspace()]
+    texts = [t for c in spaces for t in (c, f"foo{c}", f"{c}foo", f"a {c} b", f"end.{c} next", f"{c}{c}\n{c}x!{c}", f"Foo\x1c{c}", f"{c}\x1fbar.", f"a{c}|b{c}")]
+    for t, (ids, _) in zip(texts, table.encode(texts), strict=True):
+        assert ids.tolist() == tok.encode(t, add_special_tokens=False).ids, repr(t)
+
+
 def test_plan_is_best():
     r = np.random.default_rng(1)
     for _ in range(50):
