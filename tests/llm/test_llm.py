@@ -307,6 +307,20 @@ def test_licenses(spark):
     assert licenses.scan(df.where("false"), "id").count() == 0
 
 
+def test_licence_passages(spark):
+    """Passages in longer lines, over line ends and in bodies, and what a directory inherits from them."""
+    gpl = "it under the terms of the GNU General Public License as published by"
+    texts = [
+        ("a/x.py", "// Copyright 2019 The Authors. Licensed under the Apache License, Version 2.0\ncode", "apache-2.0"), ("b/x.py", "# SPDX-License-Identifier: MIT\ncode", "mit"),
+        ("c/COPYING", "GNU GENERAL PUBLIC LICENSE\nVersion 3, 29 June 2007\nmore", "gpl-3.0"), ("c/d/x.py", "code", "gpl-3.0"), ("e/x.py", "GNU GENERAL PUBLIC LICENSE", "gpl"),
+        ("f/x.py", f" * {gpl}\n * the Free Software Foundation; either version 2 of\n * the License, or later", "gpl-2.0"), ("g/x.py", f"{gpl} somebody", "gpl"),
+        ("h/x.py", "x\n# Licensed under the\n#   MIT License. See there", "mit"), ("i/LICENSE", "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files", "mit"),
+        ("j/x.py", "no license is given for the permission of gnu", None), ("k/x.py", "SPDX-License-Identifier: Other", None),
+    ]
+    df = spark.createDataFrame([(i, p, t) for i, (p, t, _) in enumerate(texts)], "id long, path string, text string")
+    assert {r.id: r.license for r in licenses.scan(df, "id").collect()} == {i: x for i, (_, _, x) in enumerate(texts)}
+
+
 def test_gradients():
     net, r = toxicity.Net(3), np.random.default_rng(0)
     net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
