@@ -10,7 +10,8 @@ document, no text.
 
 Defined cases. Null or empty text: one empty line, kept. Null doc_id: the row takes no part in counting and keeps all
 lines. Rows with the same doc_id count as one document; each row gets its own bitmap (rows are told apart by doc_id
-and a hash of the text). Empty table: no rows. Other columns are ignored.
+and a hash of the text). Empty table: no rows. Other columns are ignored or, by
+`deduped`, returned, whatever their names.
 """
 
 from __future__ import annotations
@@ -158,6 +159,7 @@ def line_bitmaps(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> Dat
     """(doc_id, fp, n_lines, n_dropped, keep) for each row of docs: keep is a zlib-compressed bit array, a bit a line."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("fp"), F.col("text").alias("text"))
     lines = docs.where("doc_id is not null and text is not null").mapInArrow(_line_rows(min_chars), LINES)
+    lines = stored(lines, "line-rows")  # the range partitioner reads them twice
     ordered = lines.repartitionByRange("h1", "h2", "doc_id").sortWithinPartitions("h1", "h2", F.desc("doc_id"), "pos")
     decided = stored(ordered.mapInArrow(_decide(min_docs), DECIDED), "line-dedup")
     whole = decided.where(F.col("kind") == SUMMARY).groupBy("h1", "h2").agg(F.sum("n_docs").alias("n"), F.max("doc_id").alias("keeper"))
@@ -195,24 +197,33 @@ def _apply(batches: Iterator) -> Iterator:
 
 
 def with_kept_text(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
-    """docs with the columns kept_text, n_lines and n_dropped; other columns stay, whatever their names."""
+    """docs' columns but text, whatever their names, each as `_d_` and its name; and kept_text, n_lines and n_dropped."""
     from pyspark.sql import types as T
 
     only = bitmaps.where("n_dropped > 0").dropDuplicates(["doc_id", "fp"]).select(*(F.col(c).alias(f"_b_{c}") for c in ("doc_id", "fp", "n_dropped", "keep")))
     rest = [c for c in docs.columns if c != "text"]
     left = docs.select(*(F.col(f"`{c}`").alias(f"_d_{c}") for c in rest), F.col("text").alias("text_in"), F.xxhash64("text").alias("_fp"))
-    both = left.join(only, (F.col("_d_doc_id") == F.col("_b_doc_id")) & (F.col("_fp") == F.col("_b_fp")), "left")
+    # rows without an id join nothing, and are dealt by their texts
+    key = F.coalesce(F.col("_d_doc_id").cast("long"), F.col("_fp"))
+    both = left.join(only, (key == F.col("_b_doc_id")) & (F.col("_fp") == F.col("_b_fp")) & F.col("_d_doc_id").isNotNull(), "left")
     plain = F.coalesce("text_in", F.lit(""))
-    both = both.select(*(F.col(f"`_d_{c}`") for c in rest), "text_in", F.col("_b_keep").alias("keep"), F.coalesce("_b_n_dropped", F.lit(0)).cast("long").alias("_n_dropped"), (F.length(plain) - F.length(F.replace(plain, F.lit("\n"), F.lit(""))) + 1).cast("long").alias("_n_lines"))
+    n_lines = (F.length(plain) - F.length(F.replace(plain, F.lit("\n"), F.lit(""))) + 1).cast("long")
+    both = both.select(*(F.col(f"`_d_{c}`") for c in rest), "text_in", F.col("_b_keep").alias("keep"), F.coalesce("_b_n_dropped", F.lit(0)).cast("long").alias("n_dropped"), n_lines.alias("n_lines"))
     schema = T.StructType([f for f in both.schema.fields if f.name not in ("text_in", "keep")] + [T.StructField("kept_text", T.StringType())])
-    done = both.mapInArrow(_apply, schema)
-    return done.select(*(F.col(f"`_d_{c}`").alias(c) for c in rest), F.col("_n_lines").alias("n_lines_before"), F.col("_n_dropped").alias("n_lines_dropped"), "kept_text")
+    return both.mapInArrow(_apply, schema)
+
+
+def deduped(docs: DataFrame) -> DataFrame:
+    """docs without their repeated lines, in docs' columns; an n_chars column follows the text."""
+    done = with_kept_text(docs, line_bitmaps(docs))
+    new = {"text": F.col("kept_text"), "n_chars": F.length("kept_text").cast("long")}
+    return done.select(*(new[c].alias(c) if c in new else F.col(f"`_d_{c}`").alias(c) for c in docs.columns))
 
 
 def op2_line_dedup(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     done = with_kept_text(docs, line_bitmaps(docs))
-    return done.select("doc_id", F.col("n_lines_before").alias("n_lines"), F.col("n_lines_dropped").alias("n_dropped"), F.sha2("kept_text", 256).alias("kept_sha256"))
+    return done.select(F.col("_d_doc_id").alias("doc_id"), "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
 OP2_SQL = r"""
