@@ -1,17 +1,20 @@
-"""Benchmark decontamination: MinHash containment search with exact verification.
+"""Benchmark decontamination: size-partitioned MinHash containment search with exact verification.
 
 Words are runs outside white space with A-Z lower-cased; shingles have five words (a shorter text is one shingle). A
-test item with n distinct shingles leaks into a document that holds at least 0.8 n of them, wherever they stand. Items are
-partitioned by size (classes of powers of two). An item's sketch holds the smallest hashes of its shingles, as many as its class's
-largest item could miss and one more; a document that holds 0.8 of the item therefore holds one of the sketch, so the
-search is complete. Found pairs are verified by counting equal shingles as strings.
+test item with n distinct shingles leaks into a document that holds at least 0.8 n of them, wherever they stand. So an item of under
+five words is found in a document of just these words, not inside longer ones.
 
-The items are a stated query set: they go to the executors in blocks of a bounded number of shingles, and every block
-is held against every document, by one scan a block. Documents are read whole and never shuffled.
+Items are partitioned by size (classes of powers of two), each with an index of its own. An item's MinHash sketch holds the smallest hashes of
+its shingles, as many as its class's largest item could miss and one more; a document that holds 0.8 of the item therefore holds one of the sketch,
+so the search is complete. A document asks the classes whose least item it is long enough to hold. Found pairs are verified by
+counting equal shingles as strings.
+
+The items are a stated query set: they go to the executors in blocks of a bounded number of shingles, one at a time: a block is broadcast, held
+against every document by one scan, its findings are written and it is freed. Documents are read whole and never shuffled.
 
 Defined cases. Null or empty item or document: no shingles, never a match. Null ids: a document without doc_id is
 reported with a null id; items likewise. Repeated rows: reported once for each document row; items with the same id
-and text count once. Empty tables: no rows. Other columns are ignored.
+and text count once. Empty tables: no rows. Other columns are ignored or, by `clean`, returned, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,11 +25,11 @@ from math import ceil
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_bytes
+from .common import new_path, text_bytes
 
 WORDS, SHARE = 5, 0.8
 BLOCK_SHINGLES = 500_000
-FOUND = "doc_id long, item_id long, n_shingles long, n_found long"
+FOUND = "doc_id long, fp long, item_id long, n_shingles long, n_found long"
 
 
 def shingles(text: bytes, n: int = WORDS) -> list[bytes]:
@@ -34,21 +37,25 @@ def shingles(text: bytes, n: int = WORDS) -> list[bytes]:
     return [b" ".join(words[i : i + n]) for i in range(max(1, len(words) - n + 1))] if words else []
 
 
-def _sketches(items: list[tuple], share: float, n_words: int):
-    """Sorted sketch hashes with their items' numbers, by size class."""
+def _sketches(items: list[tuple], share: float, n_words: int) -> list[tuple]:
+    """For each size class (the least number of shingles a document needs, sorted sketch hashes, their items' numbers)."""
     import numpy as np
     import xxhash
 
-    hashes, owners, sizes = [], [], []
+    classes: dict[int, tuple[list, list]] = {}
     for k, (_, text) in enumerate(items):
         own = sorted({xxhash.xxh3_64_intdigest(s) for s in shingles(text, n_words)})
-        upper = (1 << len(own).bit_length()) - 1  # the largest size in the class
+        size = len(own).bit_length()
+        upper = (1 << size) - 1  # the largest size in the class
         take = upper - ceil(share * upper - 1e-9) + 1
+        hashes, owners = classes.setdefault(size, ([], []))
         hashes += own[:take]
         owners += [k] * min(take, len(own))
-        sizes.append(len(own))
-    order = np.argsort(np.array(hashes, np.uint64), kind="stable")
-    return np.array(hashes, np.uint64)[order], np.array(owners, np.int64)[order]
+    out = []
+    for size, (hashes, owners) in sorted(classes.items()):
+        order = np.argsort(np.array(hashes, np.uint64), kind="stable")
+        out.append((ceil(share * (1 << size - 1) - 1e-9), np.array(hashes, np.uint64)[order], np.array(owners, np.int64)[order]))
+    return out
 
 
 def _scan(shared, share: float, n_words: int):
@@ -57,17 +64,18 @@ def _scan(shared, share: float, n_words: int):
         import pyarrow as pa
         import xxhash
 
-        items, hashes, owners = shared.value
+        items, classes = shared.value
         parts = [set(shingles(t, n_words)) for _, t in items]
         mask = np.uint64((1 << 22) - 1)
         seen = np.zeros(1 << 22, bool)
-        seen[(hashes & mask).astype(np.int64)] = True
+        for _, hashes, _ in classes:
+            seen[(hashes & mask).astype(np.int64)] = True
         xxh, join = xxhash.xxh3_64_intdigest, b" ".join
         for b in batches:
             out = []
-            ids = b.column(0).to_pylist()
+            ids, fps = b.column(0).to_pylist(), b.column(1).to_pylist()
             for lo in range(0, b.num_rows, 64):
-                for i, text in enumerate(text_bytes(b.column(1).slice(lo, 64)), lo):
+                for i, text in enumerate(text_bytes(b.column(2).slice(lo, 64)), lo):
                     words = text.lower().split()
                     if not words:
                         continue
@@ -76,16 +84,21 @@ def _scan(shared, share: float, n_words: int):
                     h = h[seen[(h & mask).astype(np.int64)]]
                     if not len(h):
                         continue
-                    at, end = np.searchsorted(hashes, h, "left"), np.searchsorted(hashes, h, "right")
-                    maybe = {int(o) for p, q in zip(at, end, strict=True) for o in owners[p:q]}
+                    maybe: set[int] = set()
+                    for least, hashes, owners in classes:
+                        if least > len(own):
+                            break
+                        at, end = np.searchsorted(hashes, h, "left"), np.searchsorted(hashes, h, "right")
+                        for k in np.flatnonzero(end > at).tolist():
+                            maybe.update(owners[at[k] : end[k]].tolist())
                     if maybe:
                         own = set(own)
                         for k in sorted(maybe):
                             n, got = len(parts[k]), len(parts[k] & own)
                             if got >= share * n - 1e-9:
-                                out.append((ids[i], items[k][0], n, got))
+                                out.append((ids[i], fps[i], items[k][0], n, got))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["doc_id", "item_id", "n_shingles", "n_found"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], [c.split()[0] for c in FOUND.split(", ")])
 
     return scan
 
@@ -103,18 +116,32 @@ def _blocks(items: Iterator[tuple], limit: int) -> Iterator[list[tuple]]:
         yield block
 
 
-def leaks(docs: DataFrame, items: DataFrame, share: float = SHARE, n_words: int = WORDS, block: int = BLOCK_SHINGLES) -> DataFrame:
-    """(doc_id, item_id, n_shingles, n_found): each item of which a document holds at least the share."""
+def _found(docs: DataFrame, items: DataFrame, share: float, n_words: int, block: int) -> DataFrame:
+    """leaks() with fp, the xxhash64 of the document's text."""
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("fp"), F.col("text").alias("text"))
     items = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").alias("text")).where("text is not null").distinct()
     rows = ((r.item_id, r.text.encode()) for r in items.orderBy("item_id", "text").toLocalIterator() if r.text.encode().split())
-    found = None
+    path = new_path(spark, "leaks")
+    spark.createDataFrame([], FOUND).write.parquet(path)
     for part in _blocks(rows, block):
-        shared = spark.sparkContext.broadcast((part, *_sketches(part, share, n_words)))
-        one = docs.mapInArrow(_scan(shared, share, n_words), FOUND)
-        found = one if found is None else found.union(one)
-    return found if found is not None else spark.createDataFrame([], FOUND)
+        shared = spark.sparkContext.broadcast((part, _sketches(part, share, n_words)))
+        docs.mapInArrow(_scan(shared, share, n_words), FOUND).write.mode("append").parquet(path)
+        shared.destroy()
+    return spark.read.schema(FOUND).parquet(path)
+
+
+def leaks(docs: DataFrame, items: DataFrame, share: float = SHARE, n_words: int = WORDS, block: int = BLOCK_SHINGLES) -> DataFrame:
+    """(doc_id, item_id, n_shingles, n_found): each item of which a document holds at least the share."""
+    return _found(docs, items, share, n_words, block).drop("fp")
+
+
+def clean(docs: DataFrame, items: DataFrame, share: float = SHARE, n_words: int = WORDS, block: int = BLOCK_SHINGLES) -> DataFrame:
+    """The rows of docs that hold no item, all columns; rows are told apart by doc_id (null equals null) and text."""
+    found = _found(docs, items, share, n_words, block).select(F.col("doc_id").alias("f_id"), F.col("fp").alias("f_fp")).distinct()
+    named = docs.select(*(F.col(f"`{c}`").alias(f"_d_{c}") for c in docs.columns))
+    same = F.col("_d_doc_id").cast("long").eqNullSafe(F.col("f_id")) & (F.xxhash64("_d_text") == F.col("f_fp"))
+    return named.join(found, same, "left_anti").select(*(F.col(f"`_d_{c}`").alias(c) for c in docs.columns))
 
 
 def op4_decontaminate(spark, sf_dir: str) -> DataFrame:
