@@ -2,12 +2,15 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; its result is written as Parquet in the shared folder and
 read again as the next stage's docs. All stages but the last keep the columns of documents.
+
+Stages decide on rows, which are told apart by doc_id (null equals null) and text, so rows that share an id, or have none, are
+judged by their own texts. Defined cases, for every stage: null texts are empty ones; columns besides doc_id and text are
+returned as they are, whatever their names; an empty table gives an empty one.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from baseloom.llm import decontaminate, line_dedup, near_texts, packing, quality_llr
 from baseloom.llm.common import stored
@@ -15,34 +18,32 @@ from baseloom.session import ship
 
 
 def quality_rules(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that fail the base rules or the likelihood ratio go."""
+    """Rows that fail the base rules or the likelihood ratio go: empty texts with them. Equal rows stay or go together."""
     model = quality_llr.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality_llr.judged(docs, model).where("kept").select(*docs.columns)
+    return quality_llr.kept_rows(docs, model)
 
 
 def dedup_lines(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated lines go, n_chars follows; a document may end up empty."""
+    """Repeated lines go, n_chars follows; a document may end up empty. Rows of one id are one document; rows without an id keep all lines."""
     ship(spark)
-    done = line_dedup.with_kept_text(docs, line_dedup.line_bitmaps(docs))
-    return done.select(*(F.col("kept_text").alias(c) if c == "text" else F.length("kept_text").cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns))
+    return line_dedup.deduped(docs)
 
 
 def dedup_documents(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (five-word shingles, Jaccard 0.8) the row of the smallest doc_id stays; rows without a doc_id stay."""
+    """Of each group of near copies (SimHash candidates, five-word shingles, Jaccard 0.8) one row stays: that of the smallest doc_id, null
+    last, then of the smallest hash of its text; of equal rows any one. Empty texts are copies of each other."""
     ship(spark)
-    first = stored(near_texts.near_texts(docs).where("doc_id = component_id").select("doc_id").distinct(), "first-copies")
-    kept = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.union(docs.where("doc_id is null")).select(*docs.columns)
+    return near_texts.first_rows(docs)
 
 
 def decontaminated(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
+    """Rows whose text holds a benchmark item go; others with the same id stay."""
     ship(spark)
-    found = decontaminate.leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
+    return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def packed(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all rows in sequences of 4096 tokens at most; an empty text is its closing token, a null id stays null."""
     import public_tokenizers
 
     ship(spark)
