@@ -3,7 +3,8 @@
 A text's key is the SHA-256 of its normalised content (null becomes empty; nothing else, as every other change could
 change the count) with the digest of the tokenizer's file. Keys join the stored counts; the texts of the keys that are not
 stored, one for each, are encoded and their counts appended to the cache as Parquet; then all rows join the cache.
-A hot text is one key: it is encoded once, and its rows meet its count by a sort-merge join that Spark can split.
+A hot text is one key: it is encoded once. Digests that more than one row in HOT has, of which there are fewer than HOT, are broadcast with their counts;
+their rows are dealt by their ids where the others join the cache, so no task gets a hot text's rows.
 
 Within a worker, counts of words are kept too: where every white-space run is a single character, a word with the space
 before it is always a pre-token of its own, so a text's count is the sum of its words' counts by the library. Other
@@ -23,9 +24,10 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import new_path
+from .common import new_path, stored
 
 LIMIT = 512
+HOT = 4096
 CACHE = "digest binary, n_tokens long"
 WORDS_KEPT = 1_000_000
 _RUN = re.compile(r"\s\s")
@@ -137,7 +139,14 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, cache_path: str) -> DataF
 
     misses = rows.select("digest", "text").join(cache().select("digest"), "digest", "left_anti").dropDuplicates(["digest"])
     misses.mapInArrow(_encode(tokenizer_path), CACHE).write.mode("append").parquet(cache_path)
-    return rows.drop("text").join(cache(), "digest").select("doc_id", "n_bytes", "n_tokens")
+    keyed = stored(rows.drop("text"), "digests")
+    many = keyed.groupBy("digest").agg(F.count("*").alias("n")).where(F.col("n") > keyed.count() / HOT).select("digest")
+    hot = F.broadcast(cache().join(F.broadcast(many), "digest").select(F.col("digest").alias("h_digest"), F.col("n_tokens").alias("h_tokens")))  # fewer than HOT rows
+    left = keyed.join(hot, F.col("digest") == F.col("h_digest"), "left")
+    own = F.when(F.col("h_digest").isNull(), F.col("digest")).otherwise(F.encode(F.xxhash64("doc_id").cast("string"), "UTF-8"))  # no digest: those have 32 bytes
+    counts = cache().select(F.col("digest").alias("c_digest"), "n_tokens")
+    out = left.withColumn("own", own).join(counts, F.col("own") == F.col("c_digest"), "left")
+    return out.select("doc_id", "n_bytes", F.coalesce("h_tokens", "n_tokens").alias("n_tokens"))
 
 
 def op7_token_counts(spark, sf_dir: str) -> DataFrame:
