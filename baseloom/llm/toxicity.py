@@ -3,11 +3,13 @@
 A word's input is a hashed embedding of its lower-cased form beside the mean of hashed embeddings of its character
 trigrams. Two gated recurrent layers read a window of WINDOW words from either end; attention over their states gives
 one vector, and that a logit. A text is covered by overlapping windows (every STRIDE words, the last one ends with the text),
-all of them scored; the largest logit is mapped to a score by a logistic curve fitted on the training documents.
+all of them scored; the largest logit is mapped to a score by a logistic curve.
 
 Training takes a bounded sample: at most SAMPLE labelled documents (half of each class where there are as many), those
-with the smallest hashes of their ids among the rows that may be learned from, and at most PER_DOC windows of each,
-spread over the whole text. The seed is fixed, so the model is the same for the same rows.
+with the smallest hashes of their ids among the rows that may be learned from, and all windows of their whole texts. One in CALIBRATE of them trains
+nothing: on these the logistic curve is fitted. A label is a document's, not a window's, so training goes in two rounds: first all windows
+have their document's label; then, of a toxic document, only the window with the largest logit and those above most clean windows
+(the CLEAN quantile) go on with label 1, the others are left out. The seed is fixed, so the model is the same for the same rows.
 
 Defined cases. Null or empty text: one window without words. Null doc_id: scored, held_out null. Repeated rows: scored
 each. Labels of one kind only or none: the score is constant, the share of toxic labels (0 without labels). Empty table: no rows.
@@ -25,9 +27,9 @@ from pyspark.sql import functions as F
 from .common import text_bytes
 
 WINDOW, STRIDE = 64, 48
-SAMPLE, PER_DOC = 4000, 4
+SAMPLE, CALIBRATE, CLEAN = 4000, 8, 0.98
 WORD_BUCKETS, CHAR_BUCKETS, WORD_DIM, CHAR_DIM, HIDDEN, ATTEND = 1 << 13, 1 << 11, 12, 8, 8, 8
-EPOCHS, BATCH, RATE = 3, 128, 0.01
+EPOCHS, STEPS, BATCH, RATE = (2, 2), (90, 90), 128, 0.01  # of either round: passes over the windows, but so many steps at least
 WORDS_KEPT = 200_000
 
 
@@ -170,48 +172,94 @@ def windows(n: int) -> list[tuple[int, int]]:
     return [(s, s + WINDOW) for s in starts]
 
 
-def train(samples: list[tuple[list[bytes], int]], seed: int = 7, epochs: int = EPOCHS) -> Net:
-    """samples: (words of a window, label)."""
+def train(documents: list[tuple[list[list[bytes]], int]], seed: int = 7, epochs: tuple[int, int] = EPOCHS) -> Net:
+    """documents: (windows of words, label)."""
     import numpy as np
 
     net, r = Net(seed), np.random.default_rng(seed)
+    flat = [(words, y, k) for k, (parts, y) in enumerate(documents) for words in parts]
     vocabulary: dict[bytes, int] = {b"": 0}
-    index = np.zeros((len(samples), WINDOW), np.int64)
-    mask = np.zeros((len(samples), WINDOW), np.float32)
-    for i, (words, _) in enumerate(samples):
+    index = np.zeros((len(flat), WINDOW), np.int32)
+    length = np.zeros(len(flat), np.int32)
+    for i, (words, _, _) in enumerate(flat):
         for j, w in enumerate(words[:WINDOW]):
             index[i, j] = vocabulary.setdefault(w, len(vocabulary))
-        mask[i, : len(words)] = 1
-    target = np.array([y for _, y in samples], np.float32)
+        length[i] = len(words)
+    target, of = np.array([y for _, y, _ in flat], np.float32), np.array([k for _, _, k in flat])
     known = list(vocabulary)
-    d, steps = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.p.items()}, 0
-    squares = {k: np.full(len(net.p[k]), 1e-6, np.float32) for k in ("word", "char")}
-    for epoch in range(epochs):
-        order = r.permutation(len(samples))
-        for lo in range(0, len(order), BATCH):
-            rows = order[lo : lo + BATCH]
-            used, local = np.unique(index[rows], return_inverse=True)
-            parts = word_parts([known[k] for k in used])
-            x = net.embed(parts)
-            table = net.project(x)
-            gates, m = laid_out(local.reshape(len(rows), WINDOW), mask[rows], table)
-            _, g, dgates = net.gradients(gates, m, target[rows])
-            at = local.reshape(len(rows), WINDOW).T
-            dtable = np.stack([_summed(k.ravel(), d.reshape(-1, d.shape[-1]), len(used)) for k, d in ((at, dgates[0]), (at[::-1], dgates[1]))])
-            g["b"] = dtable.sum(1)[:, None]
-            g["W"] = np.stack([x.T @ dtable[k] for k in (0, 1)])
-            dx = dtable[0] @ net.p["W"][0].T + dtable[1] @ net.p["W"][1].T
-            steps += 1
-            rate = RATE * (1 - 0.8 * epoch / epochs)
-            for k, dk in g.items():
-                a, b = d[k]
-                a += 0.1 * (dk - a)
-                b += 0.001 * (dk * dk - b)
-                net.p[k] -= rate * (a / (1 - 0.9**steps)) / (np.sqrt(b / (1 - 0.999**steps)) + 1e-8)
-            _embedding_step(net, squares, parts, dx)
+    state = _Adam(net)
+    done, rows = 0, np.arange(len(flat))
+    for n, least in zip(epochs, STEPS, strict=True):
+        for _ in range(max(n, -(-least * BATCH // len(rows)))):
+            order = r.permutation(rows)
+            for lo in range(0, len(order), BATCH):
+                done += min(BATCH, len(order) - lo)
+                rate = RATE * max(0.2, 1 - 0.8 * done / max(sum(epochs) * len(flat), sum(STEPS) * BATCH))
+                _step(net, state, index, length, target, known, order[lo : lo + BATCH], rate)
+        rows = _telling(_all_logits(net, index, length, known), target, of)
     return net
 
 
+def _telling(z, target, of):
+    """The windows of clean documents; of toxic ones the largest, and those above most clean ones."""
+    import numpy as np
+
+    bad = target > 0
+    least = np.quantile(z[~bad], CLEAN) if (~bad).any() else -np.inf
+    top = np.full(of.max() + 1, -np.inf)
+    np.maximum.at(top, of, z)
+    return np.flatnonzero(~bad | (z > least) | (z >= top[of]))
+
+
+def _mask(length, rows):
+    import numpy as np
+
+    return (np.arange(WINDOW) < length[rows, None]).astype(np.float32)
+
+
+def _all_logits(net: Net, index, length, known):
+    import numpy as np
+
+    table = np.concatenate([net.project(net.embed(word_parts(known[lo : lo + 20_000]))) for lo in range(0, len(known), 20_000)], axis=1)
+    out = []
+    for lo in range(0, len(index), 1024):
+        rows = np.arange(lo, min(lo + 1024, len(index)))
+        out.append(net.run(*laid_out(index[rows], _mask(length, rows), table))[0])
+    return np.concatenate(out)
+
+
+class _Adam:
+    def __init__(self, net: Net):
+        import numpy as np
+
+        self.moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.p.items()}
+        self.squares = {k: np.full(len(net.p[k]), 1e-6, np.float32) for k in ("word", "char")}
+        self.steps = 0
+
+
+def _step(net: Net, state: _Adam, index, length, target, known, rows, rate: float) -> None:
+    import numpy as np
+
+    used, local = np.unique(index[rows], return_inverse=True)
+    parts = word_parts([known[k] for k in used])
+    x = net.embed(parts)
+    local = local.reshape(len(rows), WINDOW)
+    gates, m = laid_out(local, _mask(length, rows), net.project(x))
+    _, g, dgates = net.gradients(gates, m, target[rows])
+    at = local.T
+    dtable = np.stack([_summed(k.ravel(), d.reshape(-1, d.shape[-1]), len(used)) for k, d in ((at, dgates[0]), (at[::-1], dgates[1]))])
+    g["b"] = dtable.sum(1)[:, None]
+    g["W"] = np.stack([x.T @ dtable[k] for k in (0, 1)])
+    dx = dtable[0] @ net.p["W"][0].T + dtable[1] @ net.p["W"][1].T
+    state.steps += 1
+    for k, dk in g.items():
+        a, b = state.moments[k]
+        a += 0.1 * (dk - a)
+        b += 0.001 * (dk * dk - b)
+        net.p[k] -= rate * (a / (1 - 0.9**state.steps)) / (np.sqrt(b / (1 - 0.999**state.steps)) + 1e-8)
+    _embedding_step(net, state.squares, parts, dx)
+
+
 def _embedding_step(net: Net, squares, parts, dx):
     import numpy as np
 
@@ -283,21 +331,6 @@ class Scorer:
         return out
 
 
-def _windows_for_training(batches: Iterator) -> Iterator:
-    import pyarrow as pa
-
-    for b in batches:
-        labels, out = b.column(0).to_pylist(), []
-        for y, text in zip(labels, text_bytes(b.column(1)), strict=True):
-            words = text.lower().split()
-            all_of = windows(len(words))
-            for k in sorted({round(i * (len(all_of) - 1) / max(1, PER_DOC - 1)) for i in range(PER_DOC)}):
-                s, e = all_of[k]
-                out.append((y, b" ".join(words[s:e])))
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array([y for y, _ in out], pa.int32()), pa.array([w for _, w in out], pa.binary())], ["toxic", "words"])
-
-
 def _score(shared):
     def score(batches: Iterator) -> Iterator:
         import numpy as np
@@ -339,13 +372,18 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE):
     if len({r.toxic for r in chosen}) < 2:
         return float(sum(r.toxic for r in chosen) / max(1, len(chosen)))
     few = F.broadcast(spark.createDataFrame([(r.doc_id, r.toxic) for r in chosen], "l_id long, toxic int"))  # at most `sample` rows
-    texts = docs.select("doc_id", "text").join(few, F.col("doc_id") == F.col("l_id"))
-    rows = texts.select("toxic", "text").mapInArrow(_windows_for_training, "toxic int, words binary").collect()  # at most PER_DOC windows a document
-    samples = sorted((bytes(r.words).split(), r.toxic) for r in rows)
-    net = train(samples)
-    scored = texts.select("l_id", "text").mapInArrow(_score(spark.sparkContext.broadcast(net)), "doc_id long, logit double").collect()
-    label = {r.doc_id: r.toxic for r in chosen}
-    return (net, *calibrated([r.logit for r in scored], [label[r.doc_id] for r in scored]))
+    texts = docs.select("doc_id", "text").join(few, F.col("doc_id") == F.col("l_id")).select("l_id", "toxic", F.col("text").cast("binary").alias("text"))
+    rows = sorted((r.l_id, r.toxic, bytes(r.text or b"")) for r in texts.collect())  # the sample's texts
+    rank = {y: {k: n for n, k in enumerate(sorted({i for i, t, _ in rows if t == y}))} for y in (0, 1)}
+    later = [rank[y][i] % CALIBRATE == CALIBRATE - 1 for i, y, _ in rows]  # of each class alike
+    split = [(text.lower().split(), y) for (_, y, text), z in zip(rows, later, strict=True) if not z]
+    net = train([([words[s:e] for s, e in windows(len(words))], y) for words, y in split])
+    held = [(text, y) for (_, y, text), z in zip(rows, later, strict=True) if z]
+    if len({y for _, y in held}) < 2:
+        held = [(text, y) for _, y, text in rows]
+    scorer = Scorer(net)
+    z = [x for lo in range(0, len(held), 128) for x in scorer.logits([t for t, _ in held[lo : lo + 128]]).tolist()]
+    return (net, *calibrated(z, [y for _, y in held]))
 
 
 def scores(docs: DataFrame, model) -> DataFrame:
