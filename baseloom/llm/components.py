@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from .common import stored
 
 
+def _state(edges: DataFrame):
+    return edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, root) for each node of edges (a long, b long): root is the smallest node reachable.
 
@@ -17,7 +21,9 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """
     e = edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     e = stored(e, "edges")
-    before = None
+    before = _state(e)
+    if not before["n"]:
+        return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
     for _ in range(max_rounds):
         sym = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = sym.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("lu"), F.least("u", "m").alias("m"))
@@ -26,7 +32,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         hung = large.join(low, F.col("u") == F.col("lu")).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = hung.union(low.select(F.col("lu").alias("u"), F.col("m").alias("v"))).distinct()
         e = stored(small, "edges")
-        now = e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
+        now = _state(e)
         if now == before:
             return e.select(F.col("u").alias("node"), F.col("v").alias("root")).union(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
         before = now
