@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 
 def ascii_sum(text: Column) -> Column:
-    """Sum of the character codes: every byte of the UTF-8 form, which is ASCII, read from its hexadecimal form."""
+    """Sum of the codes of the characters, which are ASCII."""
     return F.aggregate(F.split(text, ""), F.lit(0).cast("long"), lambda a, c: a + F.ascii(c))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 TRACKED = 100_000
 PERCENT = 0.1
+BLOCK = 1 << 16  # reads to a block, when the first keys are looked for
 LABELS = ("1", "2", "3", "4", "5", "6", "7", "8", "9", ">10", ">50", ">100", ">500", ">1k", ">5k", ">10k")
 
 
@@ -17,10 +18,19 @@ def sequence_keys(reads: DataFrame) -> DataFrame:
 
 
 def tracked_keys(keys: DataFrame, limit: int | None = TRACKED) -> DataFrame:
-    """keys with rank, the first `limit` of each file by first occurrence; None keeps all. The limit belongs to the feature."""
-    rank = F.row_number().over(Window.partitionBy("file").orderBy("first_idx"))
-    ranked = keys.withColumn("rank", rank)
-    return ranked if limit is None else ranked.where(F.col("rank") <= limit)
+    """keys with rank, the first `limit` of each file by first occurrence; None keeps all, without ranks. The limit belongs to the feature.
+
+    Keys are counted by blocks of reads; only those up to the block in which the limit is reached are ranked, so a task ranks
+    `limit` and BLOCK keys at most, however many a file has.
+    """
+    if limit is None:
+        return keys.withColumn("rank", F.lit(None).cast("int"))
+    block = F.floor(F.col("first_idx") / BLOCK)
+    sums = keys.groupBy("file", block.alias("b")).agg(F.count("*").alias("k"))
+    before = F.coalesce(F.sum("k").over(Window.partitionBy("file").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    last = sums.withColumn("before", before).where(F.col("before") < limit).groupBy("file").agg(F.max("b").alias("last"))  # a row a file
+    few = keys.join(F.broadcast(last), "file").where(block <= F.col("last")).drop("last")
+    return few.withColumn("rank", F.row_number().over(Window.partitionBy("file").orderBy("first_idx"))).where(F.col("rank") <= limit)
 
 
 def tracking(reads: DataFrame, tracked: DataFrame, limit: int | None = TRACKED) -> DataFrame:
@@ -46,10 +56,17 @@ def _slot():
 
 
 def corrected():
-    """Keys of a level that the whole file is expected to have, from those found before tracking stopped."""
+    """Keys of a level that the whole file is expected to have, from those found before tracking stopped.
+
+    The chance to miss a key is a product of d factors, each 1 - at / total at most, and counts as 0 below a limit; so only as many
+    factors are multiplied as can keep it over that limit.
+    """
     at, total, d, n = (F.col(c) for c in ("count_at_unique_limit", "total", "level", "keys"))
-    missed = F.aggregate(F.sequence(F.lit(0).cast("long"), d - 1), F.lit(1.0), lambda a, j: a * F.greatest(total - at - j, F.lit(0)) / (total - j))
-    missed = F.when(missed < 1 - n / (n + 0.01), 0.0).otherwise(missed)
+    least = 1 - n / (n + 0.01)
+    enough = F.when(at < total, F.ceil(F.log(least) / F.log1p(-at / total)) + 2).otherwise(1).cast("long")
+    factors = F.sequence(F.lit(0).cast("long"), F.greatest(F.least(d, enough), F.lit(1).cast("long")) - 1)
+    missed = F.aggregate(factors, F.lit(1.0), lambda a, j: a * F.greatest(total - at - j, F.lit(0)) / (total - j))
+    missed = F.when(missed < least, 0.0).otherwise(missed)
     return F.when((at == total) | (total - n < n), n.cast("double")).otherwise(n / (1 - missed))
 
 

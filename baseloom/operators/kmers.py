@@ -51,23 +51,25 @@ def windows_of(reads: DataFrame, every: int = EVERY) -> DataFrame:
 
 
 def tail(hits: int, total: int, share: float) -> float:
-    """1 minus the binomial distribution function, as doubles subtract: tails under about 1e-16 are 0."""
+    """1 minus the binomial distribution function, as doubles subtract: tails under about 1e-16 are 0.
+
+    Terms are summed away from `hits`, upwards beyond the mean and downwards below it, until they no longer count.
+    """
     from math import exp, lgamma, log, log1p
 
+    if hits >= total:
+        return 0.0
     if share >= 1:
-        return 0.0 if hits >= total else 1.0
-    below = 0.0
-    for k in range(hits + 1):
-        below += exp(lgamma(total + 1) - lgamma(k + 1) - lgamma(total - k + 1) + k * log(share) + (total - k) * log1p(-share))
-    upper = 0.0
-    if below > 0.5:  # the upper sum is the exact one where the lower is near 1
-        k = hits + 1
-        term = exp(lgamma(total + 1) - lgamma(k + 1) - lgamma(total - k + 1) + k * log(share) + (total - k) * log1p(-share)) if k <= total else 0.0
-        while k <= total and term > upper * 1e-17:
-            upper += term
-            term *= (total - k) / (k + 1) * share / (1 - share)
-            k += 1
-        below = 1.0 - upper
+        return 1.0
+    up, odds = hits >= total * share, share / (1 - share)
+    k = hits + 1 if up else hits
+    term = exp(lgamma(total + 1) - lgamma(k + 1) - lgamma(total - k + 1) + k * log(share) + (total - k) * log1p(-share))
+    sum_ = 0.0
+    while 0 <= k <= total and term > sum_ * 1e-17:
+        sum_ += term
+        term *= (total - k) / (k + 1) * odds if up else k / (total - k + 1) / odds
+        k += 1 if up else -1
+    below = 1.0 - sum_ if up else sum_
     return max(0.0, 1.0 - below)
 
 

@@ -112,7 +112,7 @@ def vaf_matrix(reads: DataFrame, patterns: DataFrame, universe: DataFrame, per_r
     """(file, snp_idx, ref, alt, vaf): counts are null for an untracked index without hits; vaf is alt / (ref + alt)."""
     counts = vaf_counts(reads, patterns, per_read).groupBy("file", "snp_idx").agg(*(F.sum(F.when(F.col("allele") == a, F.col("n"))).alias(c) for a, c in ((0, "r"), (1, "a"))))
     files = reads.select("file").distinct()
-    full = files.crossJoin(F.broadcast(universe)).join(counts, ["file", "snp_idx"], "left")  # universe: a row for each index
+    full = files.crossJoin(universe).join(counts, ["file", "snp_idx"], "left")  # universe: a row for each index
     fill = lambda c: F.coalesce(F.col(c), F.when(F.col("tracked"), F.lit(0).cast("long")))
     full = full.select("file", "snp_idx", fill("r").alias("ref"), fill("a").alias("alt"))
     both = F.col("ref") + F.col("alt")

@@ -9,18 +9,22 @@ from ..functions.bins import bin_high, bin_low
 from ..functions.scalars import phred, tile_field, tile_of
 
 FIRST, EVERY, MOST = 10_000, 10, 1001
+BLOCK = 4096  # reads to a block, when empty ones are counted
 
 
 def sampled_tiles(reads: DataFrame, first: int = FIRST, every: int = EVERY) -> DataFrame:
     """(file, read_idx, tile, qual) of sampled reads with a quality; the head format is that of a file's first such read.
 
     A sampled read with too few fields ends the module for its file; earlier reads count. Ordinals count reads with a
-    quality; they are the read's number less the empty ones before it, which are few and counted by themselves.
+    quality; they are the read's number less the empty ones before it: those of the blocks before, by running sums, and those
+    of its own block. Only files with empty reads have blocks in that table, from the first such on.
     """
-    full = reads.where("length(qual) > 0")
-    empty = reads.where("length(qual) = 0").groupBy("file").agg(F.array_sort(F.collect_list("read_idx")).alias("gaps"))
-    numbered = full.join(F.broadcast(empty), "file", "left").withColumn("j", F.col("read_idx") - F.coalesce(F.size(F.filter("gaps", lambda i: i < F.col("read_idx"))), F.lit(0)))
-    numbered = numbered.withColumn("j", F.when(F.col("gaps").isNull(), F.col("read_idx")).otherwise(F.col("j")))
+    full = reads.where("length(qual) > 0").withColumn("b", F.floor(F.col("read_idx") / BLOCK))
+    blocks = reads.groupBy("file", F.floor(F.col("read_idx") / BLOCK).alias("b")).agg(F.collect_list(F.when(F.length("qual") == 0, F.col("read_idx"))).alias("gaps"))
+    before = F.sum(F.size("gaps")).over(Window.partitionBy("file").orderBy("b").rowsBetween(Window.unboundedPreceding, 0)) - F.size("gaps")
+    blocks = blocks.withColumn("before", before).where("before > 0 or size(gaps) > 0")
+    gone = F.coalesce(F.col("before") + F.size(F.filter("gaps", lambda i: i < F.col("read_idx"))), F.lit(0))
+    numbered = full.join(blocks, ["file", "b"], "left").withColumn("j", F.col("read_idx") - gone)
     kept = numbered.where((F.col("j") <= first) | (F.col("j") % every == 0))
     head = kept.groupBy("file").agg(F.min_by(F.struct("head"), "read_idx")["head"].alias("head1")).select("file", tile_field(F.col("head1")).alias("field"))
     shaped = kept.join(F.broadcast(head), "file").where("field is not null").withColumn("short", F.size(F.split("head", ":")) <= F.col("field"))

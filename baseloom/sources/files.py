@@ -11,18 +11,44 @@ from ..functions.scalars import guessed_reads, stem
 
 
 def checksum(spark: SparkSession, path: str, algorithm: str = "md5sum") -> DataFrame:
-    """(path, md5sum, filesize) of the raw bytes; algorithm blake2b gives a 512-bit digest in the same column, others MD5."""
-    files = spark.read.format("binaryFile").load(path)
-    if algorithm == "blake2b":
-        def digests(content):
-            import hashlib
-
-            return content.map(lambda x: hashlib.blake2b(x).hexdigest())
+    """(path, md5sum, filesize) of the raw bytes; algorithm blake2b gives a 512-bit digest in the same column, others MD5.
 
-        digest = F.pandas_udf(digests, "string")("content")
-    else:
-        digest = F.md5("content")
-    return files.select("path", digest.alias("md5sum"), F.col("length").alias("filesize"))
+    Files on paths that every executor sees are read in parts, whatever their size; those of other stores go through Spark
+    whole, up to its 2 GB.
+    """
+    files = spark.read.format("binaryFile").load(path)
+    local = F.col("path").startswith("file:")
+    out = "path string, md5sum string, filesize long"
+    streamed = files.where(local).select("path", "length").mapInArrow(_digests(algorithm, False), out)
+    return streamed.union(files.where(~local).select("path", "length", "content").mapInArrow(_digests(algorithm, True), out))
+
+
+def _digests(algorithm: str, whole: bool):
+    def digests(batches):
+        import hashlib
+        from urllib.parse import unquote, urlparse
+
+        import pyarrow as pa
+
+        for b in batches:
+            sums = []
+            for i, path in enumerate(b.column(0).to_pylist()):
+                h = hashlib.blake2b() if algorithm == "blake2b" else hashlib.md5()
+                if whole:
+                    h.update(b.column(2)[i].as_py())
+                else:
+                    with open(unquote(urlparse(path).path), "rb") as f:
+                        while part := f.read(1 << 20):
+                            h.update(part)
+                sums.append(h.hexdigest())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sums, pa.string()), b.column(1)], ["path", "md5sum", "filesize"])
+
+    return digests
+
+
+def exact_read_counts(reads: DataFrame) -> DataFrame:
+    """(file, n): reads in each file, counted."""
+    return reads.groupBy("file").agg(F.count("*").alias("n"))
 
 
 def read_counts(spark: SparkSession, path: str) -> DataFrame:

@@ -39,8 +39,8 @@ def test_query_equals_sql(spark, name):
 def test_partitioning_does_not_matter(spark):
     reads = fixtures.reads(spark, SF)
     for module in (lambda r: duplication.overrepresented(t := duplication.tracked_keys(duplication.sequence_keys(r), 500), duplication.tracking(r, t, 500)), lambda r: kmers.kmer_counts(r), lambda r: tiles.tile_quality(r, 100, 7)):
-        one, many = (sorted(map(str, module(reads.repartition(n)).select("*").collect())) for n in (1, 7))
-        assert len(one) == len(many)
+        one, many = (sorted(tuple(f"{x:.9g}" if isinstance(x, float) else str(x) for x in r) for r in module(reads.repartition(n)).collect()) for n in (1, 7))
+        assert one == many
 
 
 def test_worked_example(spark):
@@ -73,7 +73,10 @@ def test_binomial_tail():
 
     want = sum(comb(50, k) * 0.1**k * 0.9 ** (50 - k) for k in range(11, 51))
     assert kmers.tail(10, 50, 0.1) == pytest.approx(want, abs=1e-12)
-    assert kmers.tail(200, 500, 0.001) == 0.0
+    assert kmers.tail(200, 500, 0.001) == 0.0 and kmers.tail(7, 7, 0.5) == 0.0 and kmers.tail(3, 7, 1.0) == 1.0
+    low = sum(comb(50, k) * 0.5**50 for k in range(4, 51))
+    assert kmers.tail(3, 50, 0.5) == pytest.approx(low, abs=1e-12)
+    assert 0 < kmers.tail(1_002_000, 10**9, 0.001) < 0.05  # two standard deviations over the mean, in short time
 
 
 def test_short_and_empty_reads(spark):
@@ -91,7 +94,37 @@ def test_short_and_empty_reads(spark):
 def test_short_head_stops_the_tiles(spark):
     head = "a:1:2:3:4:5:6"
     reads = frame(spark, [(head, "AC", "II"), ("a:b", "AC", "##"), (head, "AC", "##")])
-    assert {r.mean for r in tiles.tile_quality(reads).collect()} == {40.0 - 0.0} or tiles.sampled_tiles(reads).count() == 1
+    assert [(r.read_idx, r.tile) for r in tiles.sampled_tiles(reads).collect()] == [(1, 4)]
+    assert {r.mean for r in tiles.tile_quality(reads).collect()} == {40.0}
+
+
+def test_ordinals_over_many_empty_reads(spark):
+    """Every third read is empty, over several blocks: ordinals count the others."""
+    n = 3 * tiles.BLOCK
+    reads = spark.range(1, n + 1).selectExpr("'f' file", "id read_idx", "'a:1:2:3:4:5:6' head", "if(id % 3 = 0, '', 'AC') seq", "if(id % 3 = 0, '', 'II') qual")
+    full = [i for i in range(1, n + 1) if i % 3]
+    want = [i for j, i in enumerate(full, 1) if j <= 10 or j % 7 == 0]
+    assert sorted(r.read_idx for r in tiles.sampled_tiles(reads.repartition(5), 10, 7).collect()) == want
+
+
+def test_tracking_ranks_the_first_blocks_only(spark):
+    keys = spark.range(400_000).selectExpr("'f' file", "cast(id as string) key", "1L n", "id * 3 + 1 first_idx")
+    got = duplication.tracked_keys(keys.repartition(4), 70_000).agg(F.count("*"), F.max("rank"), F.max("first_idx")).first()
+    assert tuple(got) == (70_000, 70_000, 69_999 * 3 + 1)
+    assert duplication.tracked_keys(keys, None).count() == 400_000
+
+
+def test_expected_keys_of_hot_levels(spark):
+    """The correction of levels up to a hundred million copies, against the whole product where that is short."""
+    rows = [(100_000, 10**9, 100_000_000, 1), (100_000, 10**9, 5000, 3), (100_000, 200_000, 7, 40_000), (5, 5, 3, 2), (300, 1000, 900, 2)]
+    got = [r[0] for r in spark.createDataFrame(rows, "count_at_unique_limit long, total long, level long, keys long").select(duplication.corrected()).collect()]
+    for value, (at, total, d, n) in zip(got, rows, strict=True):
+        missed, j = 1.0, 0
+        while j < d and missed >= 1 - n / (n + 0.01):
+            missed *= max(total - at - j, 0) / (total - j)
+            j += 1
+        missed = 0.0 if missed < 1 - n / (n + 0.01) else missed
+        assert value == pytest.approx(n if at == total or total - n < n else n / (1 - missed), rel=1e-9)
 
 
 def test_files(spark, tmp_path):
@@ -113,6 +146,49 @@ def test_files(spark, tmp_path):
         spark.read.format("fastq").load(f"{tmp_path}/bad.fastq").count()
 
 
+def test_large_file_is_read_in_parts(spark, tmp_path):
+    """A sparse file of over 2 GB."""
+    with open(tmp_path / "big", "wb") as f:
+        f.truncate((1 << 31) + 10)
+    h = hashlib.md5()
+    for _ in range(1 << 7):
+        h.update(bytes(1 << 24))
+    h.update(bytes(10))
+    r = files.checksum(spark, f"{tmp_path}/big").first()
+    assert (r.md5sum, r.filesize) == (h.hexdigest(), (1 << 31) + 10)
+
+
+def test_counts_and_lists(spark, tmp_path):
+    text = "".join(f"@{h}\n{s}\n+\n{q}\n" for h, s, q in [READ] * 3)
+    (tmp_path / "a.fastq").write_text(text)
+    assert [(r.guess, r.filesize) for r in files.read_counts(spark, f"{tmp_path}/a.fastq").collect()] == [(len(text), len(text))]
+    assert [r.n for r in files.exact_read_counts(fastq.read_fastq(spark, f"{tmp_path}/a.fastq")).collect()] == [3]
+    (tmp_path / "l.txt").write_text("# a comment\n\nName one\t\tACGT\nno tab\nTwo\tGG\n")
+    assert lists.read_list(spark, f"{tmp_path}/l.txt") == [("Name one", "ACGT"), ("Two", "GG")]
+
+
+def test_exponential_widths(spark):
+    width = lambda p, n: spark.range(1).select(bins.exponential_width(F.lit(p), F.lit(n))).first()[0]
+    assert [width(p, n) for p, n in ((5, 60), (10, 60), (9, 100), (10, 100), (50, 150), (50, 250), (100, 400), (500, 1500), (1000, 2500))] == [1, 1, 1, 5, 5, 10, 50, 100, 500]
+
+
+def test_command_line(spark, tmp_path, monkeypatch):
+    """A report on a real file, through the command line's own entry."""
+    import runpy
+    import sys
+
+    reads = [("A00:1:F:1:1101:%d:1" % i, READ[1], READ[2]) for i in range(120)]
+    (tmp_path / "x.y.fastq").write_text("".join(f"@{h}\n{s}\n+\n{q}\n" for h, s, q in reads))
+    monkeypatch.setattr(sys, "argv", ["baseloom", "merge", "-o", str(tmp_path / "m.fastq"), str(tmp_path / "x.y.fastq"), str(tmp_path / "x.y.fastq")])
+    runpy.run_module("baseloom", run_name="__main__")
+    assert (tmp_path / "m.fastq").read_text().count("@A00") == 240
+    monkeypatch.setattr(sys, "argv", ["baseloom", "metrics", "-o", str(tmp_path), "-m", "blake2b", "--kmer-isi", "10", str(tmp_path / "x.y.fastq")])
+    runpy.run_module("baseloom", run_name="__main__")
+    body = json.loads((tmp_path / "x.json").read_text())
+    assert body["filemeta"]["md5sum"] == hashlib.blake2b((tmp_path / "x.y.fastq").read_bytes()).hexdigest()
+    assert body["fastqc"]["basic_stats"]["total_reads"] == 120 and body["fastqc"]["overrepresented_seqs"]["overrepresented_seqs"][0]["count"] == 120
+
+
 def test_patterns(spark, tmp_path):
     (tmp_path / "p.tsv").write_text("0|0|" + "A" * 21 + "\t0|1|" + "C" * 21 + "\n2|0|" + "G" * 21 + "\n")
     lists.build_patterns(spark, f"{tmp_path}/p.tsv").write.json(f"{tmp_path}/p.json")
