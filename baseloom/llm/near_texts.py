@@ -200,7 +200,7 @@ def size_pairs(tiles: DataFrame, similar: float) -> DataFrame:
     asked = tiles.select(F.col("tile").alias("a"), F.col("low").alias("low_a"), F.col("high").alias("high_a"), F.explode(reach).alias("bin")).select("*", salts.alias("salt"))
     other = tiles.select(F.col("tile").alias("b"), F.col("low").alias("low_b"), bin_of(F.col("low")).alias("bin"), F.pmod(F.xxhash64("tile"), F.lit(simhash.SALTS)).cast("int").alias("salt"))
     after = (F.col("low_b") > F.col("low_a")) | ((F.col("low_b") == F.col("low_a")) & (F.col("b") >= F.col("a")))
-    return asked.join(other, ["bin", "salt"]).where(after & (F.col("low_b") * similar <= F.col("high_a") + 1e-6)).select("a", "b")
+    return asked.join(other.hint("merge"), ["bin", "salt"]).where(after & (F.col("low_b") * similar <= F.col("high_a") + 1e-6)).select("a", "b")
 
 
 def groups(docs: DataFrame, similar: float = SIMILAR, n_words: int = WORDS, tile: int = TILE, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
@@ -219,7 +219,7 @@ def groups(docs: DataFrame, similar: float = SIMILAR, n_words: int = WORDS, tile
     sets = stored(wanted.mapInArrow(_sets(n_words), "cluster long, class long, salts int, hashes binary"), "near-sets")
     salt = F.pmod(F.xxhash64("class"), F.col("salts")).cast("int")
     pivots = sets.where("class = cluster").dropDuplicates(["class"]).select(F.col("cluster").alias("p_cluster"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("p_salt"), F.col("hashes").alias("pivot"))
-    met = sets.withColumn("salt", salt).join(pivots, (F.col("cluster") == F.col("p_cluster")) & (F.col("salt") == F.col("p_salt"))).select("cluster", "class", "hashes", "pivot")
+    met = sets.withColumn("salt", salt).join(pivots.hint("merge"), (F.col("cluster") == F.col("p_cluster")) & (F.col("salt") == F.col("p_salt"))).select("cluster", "class", "hashes", "pivot")
     labels = stored(met.mapInArrow(_by_pivot(similar), "cluster long, class long, label long").distinct(), "near-labels")
     # clusters with members unlike the pivot, where these may be like others
     open_ = labels.groupBy("cluster").agg(F.count_if(F.col("label") != F.col("cluster")).alias("off"), F.count("*").alias("n")).where("off > 0 and n > 2").select("cluster")
@@ -229,9 +229,9 @@ def groups(docs: DataFrame, similar: float = SIMILAR, n_words: int = WORDS, tile
     salts = F.explode(F.array(*map(F.lit, range(simhash.SALTS))))
     asked = cut.select(F.col("tile").alias("a"), "cluster", F.col("pure").alias("pure_a"), salts.alias("salt"))
     other = cut.select(F.col("tile").alias("b"), "cluster", F.col("pure").alias("pure_b"), F.pmod(F.xxhash64("tile"), F.lit(simhash.SALTS)).cast("int").alias("salt"))
-    pairs = asked.join(other, ["cluster", "salt"]).where("a <= b and not coalesce(pure_a = pure_b, false)").select("a", F.when(F.col("a") != F.col("b"), F.col("b")).alias("b"))
+    pairs = asked.join(other.hint("merge"), ["cluster", "salt"]).where("a <= b and not coalesce(pure_a = pure_b, false)").select("a", F.when(F.col("a") != F.col("b"), F.col("b")).alias("b"))
     content = lambda k: cut.select(F.col("tile").alias(k), F.col("labels").alias(f"labels_{k}"), F.col("sets").alias(f"sets_{k}"))
-    more = pairs.join(content("a"), "a").join(content("b"), "b", "left").select("labels_a", "sets_a", "labels_b", "sets_b").mapInArrow(_across(similar), "a long, b long")
+    more = pairs.join(content("a").hint("merge"), "a").join(content("b").hint("merge"), "b", "left").select("labels_a", "sets_a", "labels_b", "sets_b").mapInArrow(_across(similar), "a long, b long")
     joined = components(more).select(F.col("node").alias("label"), "root")
     return own.select("doc_id", "fp", "class"), labels.join(joined, "label", "left").select("class", F.coalesce("root", "label").alias("label"))
 

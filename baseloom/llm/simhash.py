@@ -25,7 +25,7 @@ from .common import stored, text_bytes
 from .components import components
 
 RADIUS, TILE = 2, 4096
-SALTS = 16
+SALTS, CELL_TILES = 16, 64
 TILES = "tile long, low int, high int, ids binary, fps binary, sizes binary"
 
 
@@ -191,7 +191,7 @@ def compared(tiles: DataFrame, pairs: DataFrame, radii: tuple, lanes: int = 1, s
     own = tiles.select(F.col("tile").alias("a"), *(F.col(c).alias(f"{c}_a") for c in ("ids", "fps", "sizes")))
     other = tiles.select(F.col("tile").alias("b"), *(F.col(c).alias(f"{c}_b") for c in ("ids", "fps", "sizes")))
     keyed = pairs.select("a", F.when(F.col("a") != F.col("b"), F.col("b")).alias("b"))
-    return keyed.join(own, "a").join(other, "b", "left").select(*(f"{c}_{s}" for s in "ab" for c in ("ids", "fps", "sizes"))).mapInArrow(_links(radii, lanes, similar), "a long, b long")
+    return keyed.join(own.hint("merge"), "a").join(other.hint("merge"), "b", "left").select(*(f"{c}_{s}" for s in "ab" for c in ("ids", "fps", "sizes"))).mapInArrow(_links(radii, lanes, similar), "a long, b long")
 
 
 def _quarter(k: int):
@@ -207,11 +207,16 @@ def _near(radius: int) -> list[int]:
 
 
 def cell_pairs(tiles: DataFrame, radius: int) -> DataFrame:
-    """(a, b): numbers of the tile pairs of near cells, each once. The salt splits a cell of many tiles."""
-    steps, salts = (F.explode(F.array(*map(F.lit, x))) for x in (_near(radius), range(SALTS)))
-    asked = tiles.select(F.col("tile").alias("a"), "low", steps.alias("step")).select("a", "step", (F.col("low") + F.col("step")).alias("cell"), salts.alias("salt"))
-    other = tiles.select(F.col("tile").alias("b"), F.col("low").alias("cell"), F.pmod(F.xxhash64("tile"), F.lit(SALTS)).cast("int").alias("salt"))
-    return asked.join(other, ["cell", "salt"]).where("step <> 0 or a <= b").select("a", "b")
+    """(a, b): numbers of the tile pairs of near cells, each once. A cell of many tiles has a salt for each CELL_TILES of them.
+
+    The joins are by shuffle: their sizes are not seen through explode, and Spark would broadcast them.
+    """
+    cells = tiles.groupBy(F.col("low").alias("cell")).agg(F.ceil(F.count("*") / CELL_TILES).cast("int").alias("salts"))  # 17 ** 4 at most
+    steps = F.explode(F.array(*map(F.lit, _near(radius))))
+    asked = tiles.select(F.col("tile").alias("a"), "low", steps.alias("step")).select("a", "step", (F.col("low") + F.col("step")).alias("cell")).join(cells, "cell")
+    asked = asked.select("a", "step", "cell", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    other = tiles.select(F.col("tile").alias("b"), F.col("low").alias("cell")).join(cells, "cell").select("b", "cell", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"))
+    return asked.join(other.hint("merge"), ["cell", "salt"]).where("step <> 0 or a <= b").select("a", "b")
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
