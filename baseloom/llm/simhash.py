@@ -209,9 +209,10 @@ def _near(radius: int) -> list[int]:
 def cell_pairs(tiles: DataFrame, radius: int) -> DataFrame:
     """(a, b): numbers of the tile pairs of near cells, each once. A cell of many tiles has a salt for each CELL_TILES of them.
 
-    The joins are by shuffle: their sizes are not seen through explode, and Spark would broadcast them.
+    The exploded side is joined by shuffle: its size is not seen through explode, and Spark would broadcast it.
     """
-    cells = tiles.groupBy(F.col("low").alias("cell")).agg(F.ceil(F.count("*") / CELL_TILES).cast("int").alias("salts"))  # 17 ** 4 at most
+    cells = tiles.groupBy(F.col("low").alias("cell")).agg(F.ceil(F.count("*") / CELL_TILES).cast("int").alias("salts"))
+    cells = F.broadcast(cells)  # 17 ** 4 rows at most
     steps = F.explode(F.array(*map(F.lit, _near(radius))))
     asked = tiles.select(F.col("tile").alias("a"), "low", steps.alias("step")).select("a", "step", (F.col("low") + F.col("step")).alias("cell")).join(cells, "cell")
     asked = asked.select("a", "step", "cell", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
