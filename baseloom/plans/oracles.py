@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..sources.fixtures import PATTERNS_CTE, READS_CTE, VAR_CTE
-from ..sources.lists import default_adapters
+from ..sources.lists import default_adapters, default_contaminants
 
 R, V, P = f"with {READS_CTE}", f"with {VAR_CTE}", f"with {PATTERNS_CTE}"
 
@@ -129,7 +129,30 @@ KO = _KG + f"select kmer, low, high, {BIG('c', 'count')}, {BIG('h', 'hits')}, {B
 
 PHRED = f"""with q as (select cast(g as bigint) as q, (g + 1) / 64e0 as p from range(0, 61) t(g))
 select q, {R6('pow(10e0, -q / 10e0)', 'p')}, {R6('case when q = 0 then null else pow(10e0, -0.2e0) end', 'p_old')}, greatest(0, cast(trunc(-10 * log10(p)) as bigint)) as back, greatest(0, cast(trunc(-10 * log10(p / (1 - p))) as bigint)) as back_old from q"""
-STRINGS = R + "select read_idx, reverse(translate(seq, 'ACGT', 'TGCA')) as revcomp, cast(split_part(head, ':', 5) as bigint) as tile from reads where not contains(seq, 'N')"
+# ratios over 5 lie so far above the mean that 60 terms hold all of a tail that a double can show
+KE = _KG + f""", sh as (select r.*, c * 1e0 / a as s from r, al),
+p as (select kmer, list_sum(list_transform(range(cast(h as bigint) + 1, least(cast(t as bigint), cast(h as bigint) + 60) + 1), lambda j: exp(lgamma(t + 1) - lgamma(j + 1) - lgamma(t - j + 1) + j * ln(s) + (t - j) * ln(1 - s)))) * 16384 as p from sh where oe > 5 and h > s * t),
+lo as (select kmer, min(coalesce(p, 0e0)) as p from p where coalesce(p, 0e0) < 0.01e0 group by kmer),
+be as (select kmer, any_value(c) as c, max(oe) as oe from r group by kmer),
+lw as (select kmer, min(r.low) as low from r join be using (kmer) where r.oe = be.oe group by kmer),
+rk as (select kmer, be.c, lo.p, be.oe, lw.low, row_number() over (order by be.oe desc, kmer desc) as rank from lo join be using (kmer) join lw using (kmer))
+select rank, kmer, {BIG('c', 'count')}, {R6('p', 'lowest_pvalue')}, {R6('oe', 'max_obs_exp')}, {BIG('low', 'max_low')} from rk where rank <= 20"""
+
+_CONTAMINANTS = ", ".join(f"({i}, '{n.replace(chr(39), chr(39) * 2)}', '{s}')" for i, (n, s, _) in enumerate(default_contaminants()))
+# the fixture's keys have 50 bases: no exact matches of 8 to 19. A row of g faces two bases on a diagonal; every second mismatch parts two runs.
+CONT = R + _tracked(100_000) + f""", ov as (select key, n, n * 1e0 / total * 100 as pc from tr, tot where n * 1e0 / total * 100 > 0.1e0),
+co(ord, name, s) as (values {_CONTAMINANTS}),
+dg as (select key, ord, s, o from ov, co, range(-200, 200) t(o) where o >= 20 - length(s) and o < length(key) - 20),
+g as (select key, ord, o, i, substr(s, cast(i + 1 as int), 1) = substr(key, cast(i + o + 1 as int), 1) as same from dg, range(0, 200) t(i) where i >= -o and i < length(s) and i < length(key) - o),
+m as (select *, sum(case when same then 0 else 1 end) over (partition by key, ord, o order by i) as wrong from g),
+rn as (select key, ord, o, 1 + coalesce(max(i) filter (where same), min(i)) - min(i) as len, count(*) filter (where not same) as miss from m where same or wrong % 2 = 1 group by key, ord, o, wrong // 2),
+hs as (select key, ord, o, len, ((len - miss) * 100) // len as pid from rn where len > 20),
+one as (select * from hs qualify row_number() over (partition by key, ord order by len desc, o, pid desc) = 1),
+best as (select * from one qualify row_number() over (partition by key order by len desc, pid desc, ord) = 1)
+select key as seq, n, {R6('pc', 'percentage')}, name as hit_name, case when name is not null then 'forward' end as direction, {BIG('len', 'hit_length')}, {BIG('pid', 'percent_id')},
+ coalesce(name || ' (' || pid || '% over ' || len || 'bp)', 'No Hit') as hit_text from ov left join best using (key) left join co using (ord)"""
+
+STRINGS = R + "select read_idx, case when not contains(seq, 'N') then reverse(translate(seq, 'ACGT', 'TGCA')) end as revcomp, cast(split_part(head, ':', 5) as bigint) as tile from reads"
 PATHS = """with p(path) as (values ('a.fq'), ('dir/b.fastq'), ('c.fq.gz'), ('d.x.fastq.gz'), ('xfq'), ('e.txt'), ('oss://bucket/k/x.fq.gz'), ('s3://b2/y.fastq'), ('http://h/z.fq'))
 select path, regexp_matches(path, '.*(.fq|.fastq)$') as fastq, regexp_matches(path, '.*(.fq.gz|.fastq.gz)$') as fastq_gz, regexp_matches(path, '(oss|s3)://') as remote,
  nullif(regexp_extract(path, '(oss|s3)://([^/]+)(/.*)$', 1), '') as scheme, nullif(regexp_extract(path, '(oss|s3)://([^/]+)(/.*)$', 2), '') as bucket, nullif(regexp_extract(path, '(oss|s3)://([^/]+)(/.*)$', 3), '') as key,
@@ -141,6 +164,6 @@ ORACLES = {
     "per_seq_quality": PSQ, "most_frequent_score": MFS, "gc_observed": GCO, "gc_observed_var": GCV, "gc_theoretical": GCT, "length_distribution": LEN,
     "length_distribution_var": LENV, "overrepresented": _over(100_000), "overrepresented_limited": _over(1000), "unique_limit": UNIQUE,
     "duplication_levels": _dup(100_000), "duplication_levels_limited": _dup(1000), "adapter_content": ADA, "tile_quality": TILE,
-    "vaf_matrix": _vaf("distinct"), "vaf_all_occurrences": _vaf(""), "kmer_counts": KC, "kmer_obs_exp": KO, "phred_functions": PHRED,
+    "vaf_matrix": _vaf("distinct"), "vaf_all_occurrences": _vaf(""), "kmer_counts": KC, "kmer_obs_exp": KO, "kmer_enriched": KE, "contaminant_hits": CONT, "phred_functions": PHRED,
     "sequence_functions": STRINGS, "path_functions": PATHS,
 }
