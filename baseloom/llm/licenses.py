@@ -15,8 +15,9 @@ lgpl) stand for passages that tell none.
 A file whose base name is that of a licence file gives its licence to its directory. Files without one of their own
 take that of the nearest ancestor directory: distinct directories are expanded to their ancestors and joined by path.
 
-Defined cases. Null or empty text: no licence of its own. Null path: no directory, nothing inherited. Ties: the larger
-cosine, then the smaller name. Repeated rows: one result row each. Empty table: no rows. Other columns are ignored.
+Defined cases. Null or empty text: no licence of its own. Null path: no directory, nothing inherited. Ties: within a
+line the first template, among a text's lines and blocks of equal cosine the longer passage, then the larger name, among a directory's
+licence files of equal cosine the smaller name. Repeated rows: one result row each. Empty table: no rows. Other columns are ignored.
 """
 
 from __future__ import annotations

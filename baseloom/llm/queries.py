@@ -17,4 +17,4 @@ QUERIES = {
     "op10_toxicity": toxicity.op10_toxicity,
 }
 
-ORACLES = {"op2_line_dedup": line_dedup.OP2_SQL, "op4_decontaminate": decontaminate.OP4_SQL}
+ORACLES = {"op2_line_dedup": line_dedup.OP2_SQL, "op4_decontaminate": decontaminate.OP4_SQL, "op5_sharding": sharding.OP5_SQL}

@@ -43,3 +43,13 @@ def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
 def op5_sharding(spark, sf_dir: str) -> DataFrame:
     out = shard(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+#: The same rows in DuckDB's SQL: checksums byte by byte with a table made by the polynomial's rule, one running sum for the bytes before.
+OP5_SQL = f"""with steps as (select list(c order by i) as tab from (select i, list_reduce(range(9), lambda c, k: case when k = 0 then c when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end, i) as c from range(256) r(i))),
+t as (select doc_id, hex(encode(coalesce(text, ''))) as hex from documents),
+b as (select doc_id, length(hex) // 2 + 1 as size, list_transform(regexp_extract_all(hex, '..'), lambda x: cast(cast('0x' || x as int) as bigint)) as bytes from t),
+c as (select doc_id, size, xor(list_reduce(bytes, lambda c, x: xor(c >> 8, tab[(xor(c, x) & 255) + 1]), 4294967295), 4294967295) as crc from b, steps),
+p as (select *, sum(size) over (order by doc_id nulls first, crc, size rows unbounded preceding) - size as before, sum(size) over () as total, row_number() over (order by doc_id nulls first, crc, size) as pos from c),
+s as (select *, least({SHARDS - 1}, (2 * before + size) * {SHARDS} // (2 * total)) as shard from p)
+select doc_id, cast(size as bigint) as size, cast(crc as bigint) as text_crc32, 'bytes' as law, cast(shard as int) as shard, cast(pos - min(pos) over (partition by shard) as bigint) as slot, cast(null as int) as grown_shard from s"""

@@ -1,5 +1,7 @@
 """Each operator against brute force or SQL, over nulls, empty and long texts, repeated rows, ties and clashing columns."""
 
+import math
+import re
 import zlib
 from collections import Counter
 from hashlib import sha256
@@ -141,6 +143,19 @@ def test_sharding(docs, nothing):
     assert sharding.shard(nothing).count() == 0
 
 
+def test_shards_by_sql(spark):
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{SF}/documents.parquet'")
+    assert sorted(map(tuple, sharding.op5_sharding(spark, SF).collect())) == sorted(con.sql(sharding.OP5_SQL).fetchall())
+    con = duckdb.connect()
+    con.execute("create table documents (doc_id bigint, text varchar)")
+    con.executemany("insert into documents values (?, ?)", [list(r) for r in ROWS])
+    docs = spark.createDataFrame(ROWS, "doc_id long, text string").repartition(3)
+    key = lambda r: tuple((x is not None, x or 0) for x in r)
+    got = sharding.shard(docs).select("doc_id", "size", "text_crc32", "shard", "slot").collect()
+    assert sorted(map(tuple, got), key=key) == sorted(con.sql(f"select doc_id, size, text_crc32, shard, slot from ({sharding.OP5_SQL})").fetchall(), key=key)
+
+
 def test_simhash(docs, nothing):
     got = simhash.near_duplicates(docs, tile=2).collect()
     fps = Counter((i, simhash.fingerprint((t or "").encode())) for i, t in ROWS)
@@ -475,6 +490,58 @@ def test_licence_passages(spark):
     assert {r.id: r.license for r in licenses.scan(df, "id").collect()} == {i: x for i, (_, _, x) in enumerate(texts)}
 
 
+def _cosine(a, b, idf, other):
+    """Of two lists of terms; a term without a weight weighs other."""
+    weigh = lambda t: {w: n * idf.get(w, other) for w, n in Counter(t).items()}
+    x, y = weigh(a), weigh(b)
+    return sum(v * y.get(w, 0.0) for w, v in x.items()) / (sum(v * v for v in x.values()) * sum(v * v for v in y.values())) ** 0.5
+
+
+def _plain_scan(files):
+    """{key: (own, score, license, origin)} of (key, path, text): every line against every template, every window of a passage's length
+    in which a key term lies where the passage has it against that passage, every ancestor directory in turn."""
+    idf = lambda ts: {w: math.log(1 + len(ts) / sum(w in t for t in ts)) for t in ts for w in t}
+    lines, parts = ([(n, licenses.terms(t)) for n, t in x] for x in (licenses.TEMPLATES, licenses.PASSAGES))
+    by_line, by_part = idf([t for _, t in lines]), idf([t for _, t in parts])
+    own, given = {}, {}
+    for key, path, text in files:
+        best = (0.0, 0, "")
+        for line in (text or "").split("\n"):
+            words = licenses.terms(line)
+            if set(words) & {w for w in by_line if w not in licenses.COMMON}:
+                best = max(best, *((round(_cosine(words, t, by_line, math.log(1 + len(lines))), 9), 0, n) for n, t in lines))
+        words = licenses.terms(text or "")
+        for name, t in parts:
+            mark = next(k for k in licenses.KEYS if k in t)
+            for i in range(len(words) - len(t) + 1):
+                block = words[i : i + len(t)]
+                if any(x == y == mark for x, y in zip(block, t, strict=True)):
+                    best = max(best, (round(_cosine(block, t, by_part, math.log(1 + len(parts))), 9), len(t), name))
+        own[key] = (best[2], best[0]) if best[0] >= licenses.SIMILAR else (None, None)
+        if path is not None and own[key][0] and re.search(licenses.LICENCE_FILES, path):
+            given.setdefault(path.rpartition("/")[0], []).append((-best[0], best[2]))
+    out = {}
+    for key, path, _ in files:
+        name, score = own[key]
+        dirs = [] if path is None else path.split("/")[:-1]
+        found = next((min(given[d])[1] for n in range(len(dirs), -1, -1) for d in ["/".join(dirs[:n])] if path is not None and d in given), None)
+        out[key] = (name, score, name or found, "own" if name else "inherited" if found else None)
+    return out
+
+
+def test_license_scan_by_brute_force(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").collect()
+    mit = "Permission is hereby granted, free of charge, to any person obtaining a copy\n# of this software and associated documentation files"
+    extra = [mit, f"{'word ' * 3000}{mit}", "// SPDX-License-Identifier:\n// MPL-2.0", "the GNU General\n * Public License", "Licensed under the Apache License, Version 2.0 and more", "license " * 40, None, ""]
+    texts = [r.text for r in docs] + extra
+    names = ["LICENSE", "a.py", "b/c.py", "b/NOTICE.md", "b/d/e/f.py"]
+    files = [(i, None if i % 17 == 0 else f"r{i // 7 % 9}/{names[i % 5]}", t) for i, t in enumerate(texts)]
+    files += [(len(files) + i, p, "x") for i, p in enumerate(["top.py", "r1/b/d/x.py", "r2/z/y.py"])]
+    got = {r.id: (r.own, r.score and round(r.score, 6), r.license, r.origin) for r in licenses.scan(spark.createDataFrame(files, "id int, path string, text string"), "id").collect()}
+    want = {k: (o, s and round(s, 6), x, g) for k, (o, s, x, g) in _plain_scan(files).items()}
+    assert got == want and {g for *_, g in want.values()} == {"own", "inherited", None}
+
+
 def test_gradients():
     net, r = toxicity.Net(3), np.random.default_rng(0)
     net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
