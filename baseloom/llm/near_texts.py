@@ -214,8 +214,8 @@ def groups(docs: DataFrame, similar: float = SIMILAR, n_words: int = WORDS, tile
     counts = found.groupBy("root").agg(F.ceil(F.count("*") / MEMBERS_A_SALT).cast("int").alias("salts"))
     members = classes.select("class", F.col("first.doc_id").alias("m_id"), F.col("first.fp").alias("m_fp")).join(found.select(F.col("node").alias("class"), F.col("root").alias("cluster")), "class")
     members = stored(members.join(counts.withColumnRenamed("root", "cluster"), "cluster"), "near-members")
-    # one text of each class that has candidates
-    wanted = texts.join(members, F.col("doc_id").eqNullSafe(F.col("m_id")) & (F.col("fp") == F.col("m_fp"))).select("text", "cluster", "class", "salts")
+    # one text of each class that has candidates; one plan at every size: texts are dealt, never sorted, and meet a hash table of narrow rows
+    wanted = texts.join(members.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("m_id")) & (F.col("fp") == F.col("m_fp"))).select("text", "cluster", "class", "salts")
     sets = stored(wanted.mapInArrow(_sets(n_words), "cluster long, class long, salts int, hashes binary"), "near-sets")
     salt = F.pmod(F.xxhash64("class"), F.col("salts")).cast("int")
     pivots = sets.where("class = cluster").dropDuplicates(["class"]).select(F.col("cluster").alias("p_cluster"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("p_salt"), F.col("hashes").alias("pivot"))
@@ -257,7 +257,7 @@ def first_rows(docs: DataFrame, similar: float = SIMILAR, n_words: int = WORDS)
     def of(part: DataFrame) -> DataFrame:
         named = docs.select(*(F.col(f"`{c}`").alias(f"_d_{c}") for c in docs.columns))
         at = F.col("_d_doc_id").cast("long").eqNullSafe(F.col("k_id")) & (F.xxhash64("_d_text") == F.col("k_fp"))
-        return named.join(part, at, "left_semi")
+        return named.join(part.hint("shuffle_hash"), at, "left_semi")
 
     out = of(keep.where("n = 1"))
     if not keep.where("n > 1").isEmpty():
