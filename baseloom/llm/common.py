@@ -57,6 +57,23 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
 
+def tidy(body):
+    """body for mapInArrow; after a partition, memory that Arrow and the C library hold free goes back to the system, as idle workers live on."""
+
+    def run(batches):
+        import ctypes
+
+        import pyarrow as pa
+
+        yield from body(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim is not None:
+            trim(0)
+
+    return run
+
+
 def text_bytes(column) -> list[bytes]:
     """An Arrow string column as UTF-8; null gives empty bytes."""
     import pyarrow as pa

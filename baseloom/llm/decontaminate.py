@@ -25,7 +25,7 @@ from math import ceil
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import new_path, text_bytes
+from .common import new_path, text_bytes, tidy
 
 WORDS, SHARE = 5, 0.8
 BLOCK_SHINGLES = 500_000
@@ -126,7 +126,7 @@ def _found(docs: DataFrame, items: DataFrame, share: float, n_words: int, block:
     spark.createDataFrame([], FOUND).write.parquet(path)
     for part in _blocks(rows, block):
         shared = spark.sparkContext.broadcast((part, _sketches(part, share, n_words)))
-        docs.mapInArrow(_scan(shared, share, n_words), FOUND).write.mode("append").parquet(path)
+        docs.mapInArrow(tidy(_scan(shared, share, n_words)), FOUND).write.mode("append").parquet(path)
         shared.destroy()
     return spark.read.schema(FOUND).parquet(path)
 

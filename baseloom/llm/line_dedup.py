@@ -22,7 +22,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, text_bytes
+from .common import stored, text_bytes, tidy
 
 LINES = "h1 long, h2 long, doc_id long, fp long, pos int"
 DECIDED = "kind int, h1 long, h2 long, doc_id long, fp long, pos int, n_docs long"
@@ -158,10 +158,10 @@ def _bitmaps(batches: Iterator) -> Iterator:
 def line_bitmaps(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> DataFrame:
     """(doc_id, fp, n_lines, n_dropped, keep) for each row of docs: keep is a zlib-compressed bit array, a bit a line."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("fp"), F.col("text").alias("text"))
-    lines = docs.where("doc_id is not null and text is not null").mapInArrow(_line_rows(min_chars), LINES)
+    lines = docs.where("doc_id is not null and text is not null").mapInArrow(tidy(_line_rows(min_chars)), LINES)
     lines = stored(lines, "line-rows")  # the range partitioner reads them twice
     ordered = lines.repartitionByRange("h1", "h2", "doc_id").sortWithinPartitions("h1", "h2", F.desc("doc_id"), "pos")
-    decided = stored(ordered.mapInArrow(_decide(min_docs), DECIDED), "line-dedup")
+    decided = stored(ordered.mapInArrow(tidy(_decide(min_docs)), DECIDED), "line-dedup")
     whole = decided.where(F.col("kind") == SUMMARY).groupBy("h1", "h2").agg(F.sum("n_docs").alias("n"), F.max("doc_id").alias("keeper"))
     late = decided.where(F.col("kind") == OPEN).select("h1", "h2", "doc_id", "fp", "pos").join(whole, ["h1", "h2"]).where((F.col("n") >= min_docs) & (F.col("doc_id") != F.col("keeper")))
     gone = decided.where(F.col("kind") == DROP).select("doc_id", "fp", "pos").union(late.select("doc_id", "fp", "pos"))
@@ -210,7 +210,7 @@ def with_kept_text(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
     n_lines = (F.length(plain) - F.length(F.replace(plain, F.lit("\n"), F.lit(""))) + 1).cast("long")
     both = both.select(*(F.col(f"`_d_{c}`") for c in rest), "text_in", F.col("_b_keep").alias("keep"), F.coalesce("_b_n_dropped", F.lit(0)).cast("long").alias("n_dropped"), n_lines.alias("n_lines"))
     schema = T.StructType([f for f in both.schema.fields if f.name not in ("text_in", "keep")] + [T.StructField("kept_text", T.StringType())])
-    return both.mapInArrow(_apply, schema)
+    return both.mapInArrow(tidy(_apply), schema)
 
 
 def deduped(docs: DataFrame) -> DataFrame:

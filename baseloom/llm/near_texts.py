@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import simhash
-from .common import stored, text_bytes
+from .common import stored, text_bytes, tidy
 from .components import components
 
 WORDS, SIMILAR, LANES, TILE = 5, 0.8, 4, 1 << 15
@@ -206,7 +206,7 @@ def size_pairs(tiles: DataFrame, similar: float) -> DataFrame:
 def groups(docs: DataFrame, similar: float = SIMILAR, n_words: int = WORDS, tile: int = TILE, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
     """(rows, groups): rows has (doc_id, fp, class) for each row of docs, fp the xxhash64 of its text; groups (class, label) for the classes in groups of two or more."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("fp"), F.col("text").alias("text"))
-    own = stored(texts.mapInArrow(_sketches(n_words, LANES), "doc_id long, fp long, class long, size int, fps binary"), "near-sketches")
+    own = stored(texts.mapInArrow(tidy(_sketches(n_words, LANES)), "doc_id long, fp long, class long, size int, fps binary"), "near-sketches")
     classes = stored(own.groupBy("class").agg(F.min(F.struct("doc_id", "fp")).alias("first"), F.first("size").alias("size"), F.first("fps").alias("fps")), "near-classes")
     ordered = classes.select("size", "class", "fps").repartitionByRange("size", "class").sortWithinPartitions("size", "class")
     tiles = stored(ordered.mapInArrow(simhash.cut_tiles(tile, LANES, False), simhash.TILES), "near-tiles")
@@ -216,11 +216,11 @@ def groups(docs: DataFrame, similar: float = SIMILAR, n_words: int = WORDS, tile
     members = stored(members.join(counts.withColumnRenamed("root", "cluster"), "cluster"), "near-members")
     # one text of each class that has candidates; one plan at every size: texts are dealt, never sorted, and meet a hash table of narrow rows
     wanted = texts.join(members.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("m_id")) & (F.col("fp") == F.col("m_fp"))).select("text", "cluster", "class", "salts")
-    sets = stored(wanted.mapInArrow(_sets(n_words), "cluster long, class long, salts int, hashes binary"), "near-sets")
+    sets = stored(wanted.mapInArrow(tidy(_sets(n_words)), "cluster long, class long, salts int, hashes binary"), "near-sets")
     salt = F.pmod(F.xxhash64("class"), F.col("salts")).cast("int")
     pivots = sets.where("class = cluster").dropDuplicates(["class"]).select(F.col("cluster").alias("p_cluster"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("p_salt"), F.col("hashes").alias("pivot"))
     met = sets.withColumn("salt", salt).join(pivots.hint("merge"), (F.col("cluster") == F.col("p_cluster")) & (F.col("salt") == F.col("p_salt"))).select("cluster", "class", "hashes", "pivot")
-    labels = stored(met.mapInArrow(_by_pivot(similar), "cluster long, class long, label long").distinct(), "near-labels")
+    labels = stored(met.mapInArrow(tidy(_by_pivot(similar)), "cluster long, class long, label long").distinct(), "near-labels")
     # clusters with members unlike the pivot, where these may be like others
     open_ = labels.groupBy("cluster").agg(F.count_if(F.col("label") != F.col("cluster")).alias("off"), F.count("*").alias("n")).where("off > 0 and n > 2").select("cluster")
     rest = labels.join(open_, "cluster", "left_semi").select(F.col("class").alias("l_class"), "label").join(sets, F.col("l_class") == F.col("class"))
@@ -231,7 +231,7 @@ def groups(docs: DataFrame, similar: float = SIMILAR, n_words: int = WORDS, tile
     other = cut.select(F.col("tile").alias("b"), "cluster", F.col("pure").alias("pure_b"), F.pmod(F.xxhash64("tile"), F.lit(simhash.SALTS)).cast("int").alias("salt"))
     pairs = asked.join(other.hint("merge"), ["cluster", "salt"]).where("a <= b and not coalesce(pure_a = pure_b, false)").select("a", F.when(F.col("a") != F.col("b"), F.col("b")).alias("b"))
     content = lambda k: cut.select(F.col("tile").alias(k), F.col("labels").alias(f"labels_{k}"), F.col("sets").alias(f"sets_{k}"))
-    more = pairs.join(content("a").hint("merge"), "a").join(content("b").hint("merge"), "b", "left").select("labels_a", "sets_a", "labels_b", "sets_b").mapInArrow(_across(similar), "a long, b long")
+    more = pairs.join(content("a").hint("merge"), "a").join(content("b").hint("merge"), "b", "left").select("labels_a", "sets_a", "labels_b", "sets_b").mapInArrow(tidy(_across(similar)), "a long, b long")
     joined = components(more).select(F.col("node").alias("label"), "root")
     return own.select("doc_id", "fp", "class"), labels.join(joined, "label", "left").select("class", F.coalesce("root", "label").alias("label"))
 

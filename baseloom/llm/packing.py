@@ -33,6 +33,7 @@ from heapq import heapify, heappop, heappush
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import tidy
 from .token_cache import encode_words, tokenizer
 
 WINDOW, CLOSING = 4096, 2
@@ -307,7 +308,7 @@ def _pack(path: str, window: int, closing: int):
 
 def packed(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, closing: int = CLOSING) -> DataFrame:
     """The pieces of all documents: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text")).mapInArrow(_pack(tokenizer_path, window, closing), PIECES)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text")).mapInArrow(tidy(_pack(tokenizer_path, window, closing)), PIECES)
 
 
 def op8_packing(spark, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, text_bytes
+from .common import stored, text_bytes, tidy
 from .components import components
 
 RADIUS, TILE = 2, 4096
@@ -191,7 +191,7 @@ def compared(tiles: DataFrame, pairs: DataFrame, radii: tuple, lanes: int = 1, s
     own = tiles.select(F.col("tile").alias("a"), *(F.col(c).alias(f"{c}_a") for c in ("ids", "fps", "sizes")))
     other = tiles.select(F.col("tile").alias("b"), *(F.col(c).alias(f"{c}_b") for c in ("ids", "fps", "sizes")))
     keyed = pairs.select("a", F.when(F.col("a") != F.col("b"), F.col("b")).alias("b"))
-    return keyed.join(own.hint("merge"), "a").join(other.hint("merge"), "b", "left").select(*(f"{c}_{s}" for s in "ab" for c in ("ids", "fps", "sizes"))).mapInArrow(_links(radii, lanes, similar), "a long, b long")
+    return keyed.join(own.hint("merge"), "a").join(other.hint("merge"), "b", "left").select(*(f"{c}_{s}" for s in "ab" for c in ("ids", "fps", "sizes"))).mapInArrow(tidy(_links(radii, lanes, similar)), "a long, b long")
 
 
 def _quarter(k: int):
@@ -222,7 +222,7 @@ def cell_pairs(tiles: DataFrame, radius: int) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
     """(doc_id, fp long, component_id) for each row: component_id is the smallest doc_id reachable over links."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text")).mapInArrow(_fingerprints, "doc_id long, fp long")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text")).mapInArrow(tidy(_fingerprints), "doc_id long, fp long")
     rows = stored(rows, "fingerprints")
     own = rows.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
     own = stored(own.withColumn("cell", (((_quarter(3) * 32 + _quarter(2)) * 32 + _quarter(1)) * 32 + _quarter(0)).cast("int")), "distinct-fingerprints")

@@ -24,7 +24,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import new_path, stored
+from .common import new_path, stored, tidy
 
 LIMIT = 512
 HOT = 4096
@@ -138,7 +138,7 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, cache_path: str) -> DataF
         return spark.read.schema(CACHE).parquet(cache_path).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
 
     misses = rows.select("digest", "text").join(cache().select("digest"), "digest", "left_anti").dropDuplicates(["digest"])
-    misses.mapInArrow(_encode(tokenizer_path), CACHE).write.mode("append").parquet(cache_path)
+    misses.mapInArrow(tidy(_encode(tokenizer_path)), CACHE).write.mode("append").parquet(cache_path)
     keyed = stored(rows.drop("text"), "digests")
     many = keyed.groupBy("digest").agg(F.count("*").alias("n")).where(F.col("n") > keyed.count() / HOT).select("digest")
     hot = F.broadcast(cache().join(F.broadcast(many), "digest").select(F.col("digest").alias("h_digest"), F.col("n_tokens").alias("h_tokens")))  # fewer than HOT rows

@@ -24,7 +24,7 @@ from zlib import crc32
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_bytes
+from .common import text_bytes, tidy
 
 WINDOW, STRIDE = 64, 48
 SAMPLE, CALIBRATE, CLEAN = 4000, 8, 0.98
@@ -392,7 +392,7 @@ def scores(docs: DataFrame, model) -> DataFrame:
     if isinstance(model, float):
         return docs.select("doc_id", F.lit(model).alias("score"))
     net, slope, shift = model
-    z = docs.mapInArrow(_score(docs.sparkSession.sparkContext.broadcast(net)), "doc_id long, logit double")
+    z = docs.mapInArrow(tidy(_score(docs.sparkSession.sparkContext.broadcast(net))), "doc_id long, logit double")
     return z.select("doc_id", (1 / (1 + F.exp(-(F.col("logit") * slope + shift)))).alias("score"))
 
 
