@@ -10,11 +10,15 @@ from tempfile import mkdtemp
 
 from pyspark.sql import SparkSession
 
+#: Bytes of an Arrow batch: batches of long texts and of blocks stay small in the JVM and in Python.
+ARROW_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch", "4m"
 _shipped: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Give the executors this package, once an application: their Python need not have it installed."""
+    """Give the executors this package, once an application: their Python need not have it installed. Arrow batches are bounded unless the session does so."""
+    if spark.conf.get(ARROW_BATCH[0], None) is None:
+        spark.conf.set(*ARROW_BATCH)
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return
