@@ -425,6 +425,43 @@ def test_likelihood_ratio(spark):
     assert sorted((str(r.doc_id), round(r.score, 6)) for r in quality_llr.judged(docs, model).collect()) == want
 
 
+def _plain_cut(seen):
+    seen = sorted(seen)
+    bad, fine = sum(q != 1 for _, q in seen), sum(q == 1 for _, q in seen)
+    cuts = [((s + t) / 2, s) for (s, _), (t, _) in zip(seen, seen[1:], strict=False) if t > s]
+    return min([(1.0, seen[0][0])] + [(quality_llr.COST * sum(q == 1 and x <= s for x, q in seen) / fine + sum(q != 1 and x > s for x, q in seen) / bad, cut) for cut, s in cuts])[1]
+
+
+def test_threshold_from_all_labels(spark):
+    """The labelled rows beyond the 20,000 of smallest hashes move the threshold."""
+    ids = [r.id for r in spark.range(20_400).orderBy(F.xxhash64("id"), "id").collect()]
+    level = {i: 3 if n >= 20_000 or n < 200 else (0, 1, 2, 4, 5, 6, 7, 8)[n % 8] for n, i in enumerate(ids)}
+    quality = {i: int(n >= 20_000 or level[i] > 3) for n, i in enumerate(ids)}
+    docs = spark.createDataFrame([(i, " ".join(["good"] * k + ["bad"] * (8 - k))) for i, k in level.items()], "doc_id long, text string")
+    model = quality_llr.fit(docs, spark.createDataFrame(list(quality.items()), "doc_id long, quality int"))
+    score = {r.doc_id: r.score for r in quality_llr.judged(docs, model).collect()}
+    at = {k: score[i] for i, k in level.items()}
+    assert at[2] < model.threshold < at[3] < at[4]
+
+
+@pytest.mark.parametrize("coalesce", ["true", "false"])
+def test_cut_over_partitions(spark, coalesce):
+    key = "spark.sql.adaptive.coalescePartitions.enabled"
+    r = np.random.default_rng(5)
+    spark.conf.set(key, coalesce)
+    try:
+        for n, spread in ((300, 40), (300, 10**6), (2, 9), (40, 3)):
+            s = [float(x) / 7 for x in r.integers(-spread, spread, n)]
+            q = [int(r.random() < 0.5 + x / (3 * max(map(abs, s)) + 1)) for x in s]
+            q[:2] = [1, 0]
+            scores = spark.createDataFrame([*enumerate(s), (None, -99.0), (n + 5, -99.0)], "doc_id long, score double")
+            labels = spark.createDataFrame([*enumerate(q), (n + 9, 1), (None, 0)], "doc_id long, quality int")
+            assert quality_llr.best_cut(scores, labels) == _plain_cut(zip(s, q, strict=True))
+            assert quality_llr.best_cut(scores, labels.where("quality = 1")) is None
+    finally:
+        spark.conf.unset(key)
+
+
 def test_urls(spark):
     urls = ["https://a.example.net/en/x", "http://EXAMPLE.com/de/y?q#z", "http://net", "ftp://b.net/", "nothing", None, "", "x://q.org/fr/1", "http://example.net/de/"]
     spam = ["casino-fun", "cheap-casino", "free-casino", "casino-jackpots", "lucky-casino", "casino-bingo", "best-casino", "casino-club", "casinos-lucky-jackpot", "free-lucky-bingo"]  # the last two hold no seed
