@@ -674,6 +674,30 @@ def test_pipeline(spark):
         assert at == len(ids)
 
 
+def test_pipeline_quality_by_all_labels(spark, tmp_path):
+    """The first stage's cut is that of all labelled rows, also beyond the 20,000 of smallest hashes."""
+    import corpus_pipeline
+
+    ids = [r.id for r in spark.range(-41, 20_400).where("id >= 0 or id % 2 = 0").orderBy(F.xxhash64("id"), "id").collect()]
+    level = {i: 3 if n >= 20_000 or n < 200 else (0, 1, 2, 4, 5, 6, 7, 8)[n % 8] for n, i in enumerate(ids) if i >= 0}
+    short = [(i, " ".join(["good"] * k + ["bad"] * (8 - k))) for i, k in level.items()]
+    long = [(-1 - k, " ".join(w for x in range(40) for w in ("good" if x < k else "bad", f"w{x}"))) for k in range(41)]  # no three-word window comes twice
+    docs = spark.createDataFrame(short + long, "doc_id long, text string")
+    quality = {i: int(n >= 20_000 or level.get(i, 8) > 3) for n, i in enumerate(ids)}
+    spark.createDataFrame(list(quality.items()), "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    model = quality_llr.fit(docs, spark.read.parquet(f"{tmp_path}/labels.parquet"))
+    score = {r.doc_id: r.score for r in quality_llr.judged(docs, model).collect()}
+    cuts = []
+    for few in (ids, ids[:20_000]):
+        by = Counter((score[i], quality[i]) for i in few)
+        steps = sorted({s for s, _ in by})
+        cost = lambda t: quality_llr.COST * sum(n for (s, q), n in by.items() if q and s < t) / sum(n for (_, q), n in by.items() if q) + sum(n for (s, q), n in by.items() if not q and s >= t) / sum(n for (_, q), n in by.items() if not q)  # noqa: B023, E731
+        cuts.append(min([steps[0], *((s + t) / 2 for s, t in zip(steps, steps[1:], strict=False))], key=cost))
+    want, sampled = ({k for k, _ in long if score[k] >= t} for t in cuts)
+    assert want != sampled
+    assert {r.doc_id for r in corpus_pipeline.quality_rules(spark, docs, str(tmp_path)).collect()} == want
+
+
 def test_pipeline_rows(spark, docs, nothing):
     """Null and repeated ids, clashing columns and empty tables, stage by stage."""
     import corpus_pipeline
