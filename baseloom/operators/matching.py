@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from ..functions.bins import bin_high, bin_low
 
 PATTERN = 21
+BLOCK = 11  # (PATTERN + 1) / 2: of a read's 11-mers from its start, end to end, each 21-mer holds one that begins in its first 11 bases
 
 
 def adapter_positions(reads: DataFrame, adapters: list[tuple[str, str]]) -> DataFrame:
@@ -95,14 +96,24 @@ def contaminant_hits(found: DataFrame, contaminants: list[tuple[str, str, str]],
     return found.withColumn("_hit", hit).select(*found.columns, F.when(F.col("_hit.name").isNotNull(), F.col("_hit")).alias("contaminant_hit"))
 
 
+def candidates(reads: DataFrame, patterns: DataFrame) -> DataFrame:
+    """(file, read_idx, kmer): the reads' 21-mers around blocks that occur in patterns at the place they have in the 21-mer; each occurrence of a pattern once."""
+    n = F.length("seq")
+    blocks = reads.select("file", "read_idx", "seq", F.explode(F.when(n >= PATTERN, F.sequence(F.lit(1), n - BLOCK + 1, F.lit(BLOCK)))).alias("pos"))
+    first = F.greatest(F.col("pos") - BLOCK + 1, F.lit(1))  # the 21-mers of a block begin here to pos; around holds them all
+    blocks = blocks.select("file", "read_idx", F.substring("seq", F.col("pos"), F.lit(BLOCK)).alias("block"), F.substring("seq", first, F.col("pos") - first + PATTERN).alias("around"))
+    known = patterns.select(F.explode(F.array(*(F.substring("kmer", i + 1, BLOCK) for i in range(BLOCK)))).alias("block")).distinct()
+    near = blocks.join(known, "block", "left_semi")
+    near = near.select("file", "read_idx", "around", F.explode(F.sequence(F.lit(1), F.length("around") - PATTERN + 1)).alias("pos"))
+    return near.select("file", "read_idx", F.substring("around", F.col("pos"), F.lit(PATTERN)).alias("kmer"))
+
+
 def vaf_counts(reads: DataFrame, patterns: DataFrame, per_read: bool = True) -> DataFrame:
     """(file, snp_idx, allele, n): reads that hold a pattern of the allele, or all occurrences.
 
     patterns is a fixed reference table of 21-mers; it is broadcast only while it is below the session's threshold.
     """
-    n = F.length("seq") - PATTERN + 1
-    kmers = F.when(n > 0, F.transform(F.sequence(F.lit(1), n), lambda i: F.substring(F.col("seq"), i, F.lit(PATTERN))))
-    found = reads.select("file", "read_idx", F.explode(kmers).alias("kmer")).join(patterns, "kmer").select("file", "read_idx", "snp_idx", "allele")
+    found = candidates(reads, patterns).join(patterns, "kmer").select("file", "read_idx", "snp_idx", "allele")
     if per_read:
         found = found.distinct()
     return found.groupBy("file", "snp_idx", "allele").agg(F.count("*").alias("n"))
