@@ -113,8 +113,8 @@ def q_tiles(spark, d):
 
 
 def _vaf(spark, d, per_read):
-    universe = spark.createDataFrame(list(fixtures.UNIVERSE), "snp_idx int, tracked boolean")
-    return _q(matching.vaf_matrix(fixtures.reads(spark, d), fixtures.patterns(spark, d), universe, per_read))
+    patterns = fixtures.patterns(spark, d)
+    return _q(matching.vaf_matrix(fixtures.reads_once(spark, d), patterns, fixtures.universe(spark), per_read))
 
 
 def q_vaf(spark, d):

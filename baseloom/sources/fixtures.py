@@ -33,26 +33,56 @@ union all select 'AAAAAAAAAAAAAAAAAAAAA', 5, 0)
 UNIVERSE = tuple((i, i < 6) for i in range(7))
 
 
+READS = "'fixture' as file, read_idx, head, seq, qual"
 _made: dict[tuple, DataFrame] = {}
 
 
+def _kept(spark: SparkSession, sf_dir: str, table: str) -> DataFrame | None:
+    made = _made.get((spark.sparkContext.applicationId, sf_dir, table))
+    return made if made is not None and made.storageLevel.useMemory else None
+
+
+def _sql(spark: SparkSession, orders: DataFrame, cte: str, table: str, columns: str) -> DataFrame:
+    orders.createOrReplaceTempView("orders")
+    return spark.sql(f"with {cte} select {columns} from {table}")
+
+
 def _run(spark: SparkSession, sf_dir: str, cte: str, table: str, columns: str) -> DataFrame:
     """The table, made once a session and persisted: all modules read the same reads."""
-    key = (spark.sparkContext.applicationId, sf_dir, table)
-    if key not in _made or _made[key].storageLevel.useMemory is False:
-        spark.read.parquet(f"{sf_dir}/orders.parquet").createOrReplaceTempView("orders")
-        _made[key] = spark.sql(f"with {cte} select {columns} from {table}").persist()
-    return _made[key]
+    if _kept(spark, sf_dir, table) is None:
+        made = _sql(spark, spark.read.parquet(f"{sf_dir}/orders.parquet"), cte, table, columns).persist()
+        _made[spark.sparkContext.applicationId, sf_dir, table] = made
+    return _kept(spark, sf_dir, table)
 
 
 def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _run(spark, sf_dir, READS_CTE, "reads", "'fixture' as file, read_idx, head, seq, qual")
+    return _run(spark, sf_dir, READS_CTE, "reads", READS)
+
+
+def reads_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The reads for one pass over a few columns: the persisted ones if there are any, else only what is asked for is made, and nothing persisted.
+
+    The keys are dealt out first, as a small orders table is one row group, which one task would read.
+    """
+    if (kept := _kept(spark, sf_dir, "reads")) is not None:
+        return kept
+    keys = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey")
+    keys.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "o_orderkey").createOrReplaceTempView("spread_orders")  # a new orders view would drop what is kept of the old one
+    return spark.sql(f"with orders as (select * from spread_orders), {READS_CTE} select {READS} from reads")
 
 
 def reads_var(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lengths from 36 to 100."""
-    return _run(spark, sf_dir, VAR_CTE, "reads_var", "'fixture' as file, read_idx, head, seq, qual")
+    return _run(spark, sf_dir, VAR_CTE, "reads_var", READS)
 
 
 def patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _run(spark, sf_dir, PATTERNS_CTE, "patterns", "kmer, snp_idx, allele")
+    """A list of 16 rows, read when asked for, so that joins know its size."""
+    rows = _sql(spark, spark.read.parquet(f"{sf_dir}/orders.parquet"), PATTERNS_CTE, "patterns", "kmer, snp_idx, allele").toArrow()
+    return spark.createDataFrame(rows)
+
+
+def universe(spark: SparkSession) -> DataFrame:
+    import pyarrow as pa
+
+    return spark.createDataFrame(pa.table({"snp_idx": pa.array([i for i, _ in UNIVERSE], pa.int32()), "tracked": [t for _, t in UNIVERSE]}))
